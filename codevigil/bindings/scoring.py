@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from ..common import r2 as r2c
+from ..common import top_per
 from ..operators import components as C
 from ..operators import findings as E
 from ..operators import hotspots as H
@@ -72,7 +74,7 @@ _FULL_COLUMNS = ["critical", "warning", "info", "score", "grade", "recommendatio
 )
 def full_score(t):
     df = S.full_score(_counts(t, "component"))
-    return df.select("component", *_FULL_COLUMNS, F.round("pass_min", 2).alias("pass_min"), F.round("warn_min", 2).alias("warn_min"))
+    return df.select("component", *_FULL_COLUMNS, r2c(F.col("pass_min")).alias("pass_min"), r2c(F.col("warn_min")).alias("warn_min"))
 
 
 @register(
@@ -194,8 +196,6 @@ def _weighted_sql(table: str, weights: list[int], cap: float, factor: float) ->
 def governance_dimensions(t):
     ranked = H.rank_hotspots(E.hotspots(t.v_find, top_n=None), 20).withColumn("score", F.col("hotspot_score"))
     risk = E.component_risk(t.v_find)
-    from ..common import top_per
-
     top = top_per(risk, [], [F.desc("risk_score"), F.asc("component")], 10)
     # Two one-row frames side by side.
     return S.hotspot_hygiene(ranked).join(S.component_balance(top), F.lit(True))
@@ -278,8 +278,6 @@ def structure_score(t):
 )
 def action_recommendations(t):
     ranked = H.rank_hotspots(E.hotspots(t.v_find, top_n=None), 8)
-    from ..common import top_per
-
     top = top_per(E.component_risk(t.v_find), [], [F.desc("risk_score"), F.asc("component")], 10)
     group = "array<struct<rank:int,group_id:string,name:string,reason:string,files:array<string>>>"
     sizes = t.v_files.agg(F.count(F.lit(1)).alias("flat_files"))

@@ -75,8 +75,13 @@ def clamp(value: Column, low: float, high: float) -> Column:
     return F.greatest(F.lit(low), F.least(F.lit(high), value))
 
 
+def rounded(value: Column, digits: int) -> Column:
+    """Half up on the decimal value: the first rounding removes the binary tail of sums and products."""
+    return F.round(F.round(value, 8), digits)
+
+
 def r2(value: Column) -> Column:
-    return F.round(value, 2)
+    return rounded(value, 2)
 
 
 def count_if(condition: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..common import r2
 
 
 def jaccard(left: Column, right: Column) -> Column:
@@ -67,7 +68,7 @@ def function_confidence(name: Column, signature: Column, shape: Column) -> Colum
         + _over(signature, fixed.MIN_SIGNATURE) * 0.2
         + _over(name, fixed.MIN_NAME_OVERLAP) * 0.2
     )
-    return F.round(F.least(raw, F.lit(0.97)), 2)
+    return r2(F.least(raw, F.lit(0.97)))
 
 
 def class_confidence(name: Column, api: Column, shape: Column) -> Column:
@@ -77,7 +78,7 @@ def class_confidence(name: Column, api: Column, shape: Column) -> Column:
         + _over(api, fixed.MIN_SIGNATURE) * 0.25
         + _over(name, fixed.MIN_NAME_OVERLAP) * 0.2
     )
-    return F.round(F.least(raw, F.lit(0.97)), 2)
+    return r2(F.least(raw, F.lit(0.97)))
 
 
 def cleanup_confidence(path_hits: Column, content_hits: Column) -> Column:
