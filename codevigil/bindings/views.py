@@ -117,7 +117,7 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
 }
 
 _DUCK = {
-    "v_tok": "SELECT doc_id, concat('d', doc_id) AS path, lang AS kind, source AS role, "
+    "v_tok": "SELECT doc_id, concat(source, '/src/', lang, '/d', doc_id, '.txt') AS path, lang AS kind, source AS role, "
     "list_distinct(regexp_extract_all(lower(text), '[a-z]+')) AS tok FROM documents",
 }
 
