@@ -64,6 +64,14 @@ VIEWS: dict[str, tuple[str, list[str]]] = {
             "greatest(1, CAST(l_quantity AS INT) % 5) AS weight",
         ],
     ),
+    "v_imports": (
+        "lineitem",
+        [
+            "concat('s', l_suppkey % 20, '/src/core/p', l_partkey, '.py') AS path",
+            "concat('s', l_orderkey % 20, '.core.p', l_partkey % 50) AS module",
+            "l_linenumber AS line",
+        ],
+    ),
     "v_events": (
         "events",
         [

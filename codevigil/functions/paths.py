@@ -282,7 +282,7 @@ def path_matches(path: Column, pattern: Column) -> Column:
     """Equal, below the pattern as a directory, glob over the whole path, or right-anchored match."""
     bare = F.regexp_replace(pattern, "/+$", "")
     literal = (path == bare) | path.startswith(F.concat(bare, F.lit("/")))
-    wild = path.rlike(glob_regex_column(pattern)) | path.rlike(right_anchor_regex_column(pattern))
+    wild = F.rlike(path, glob_regex_column(pattern)) | F.rlike(path, right_anchor_regex_column(pattern))
     tail = F.concat(F.lit("/"), path).endswith(F.concat(F.lit("/"), bare))
     return F.when(bare == "", F.lit(False)).when(has_wildcard(pattern), literal | wild).otherwise(literal | tail)
 
@@ -291,12 +291,12 @@ def plan_path_matches(path: Column, pattern: Column) -> Column:
     """The plan variant: glob only when the pattern has a wildcard, else equal or below as a directory."""
     bare = F.regexp_replace(pattern, "/+$", "")
     literal = (path == bare) | path.startswith(F.concat(bare, F.lit("/")))
-    wild = path.rlike(glob_regex_column(pattern)) | path.rlike(right_anchor_regex_column(pattern))
+    wild = F.rlike(path, glob_regex_column(pattern)) | F.rlike(path, right_anchor_regex_column(pattern))
     return F.when(bare == "", F.lit(False)).when(has_wildcard(pattern), wild).otherwise(literal)
 
 
 def module_matches(module: Column, pattern: Column) -> Column:
     """Glob when the pattern holds a wildcard, else equal or below it as a dotted prefix."""
-    wild = module.rlike(glob_regex_column(pattern))
+    wild = F.rlike(module, glob_regex_column(pattern))
     literal = (module == pattern) | module.startswith(F.concat(pattern, F.lit(".")))
     return F.when((module == "") | (pattern == ""), F.lit(False)).when(has_wildcard(pattern), wild).otherwise(literal)

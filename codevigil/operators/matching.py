@@ -85,7 +85,7 @@ def pattern_pairs(paths: DataFrame, patterns: DataFrame, mode: str = "any") -> D
     if mode == "overlay":
         rule_path, rule_glob = norm_scope_path(F.col("rule_path")), F.coalesce("rule_glob", F.lit(""))
         in_path = (rule_path == "") | (path == rule_path) | path.startswith(F.concat(rule_path, F.lit("/")))
-        globbed = path.rlike(glob_regex_column(rule_glob)) | path.rlike(right_anchor_regex_column(rule_glob))
+        globbed = F.rlike(path, glob_regex_column(rule_glob)) | F.rlike(path, right_anchor_regex_column(rule_glob))
         check = in_path & ((rule_glob == "") | globbed)
     elif mode == "plan":
         check = plan_path_matches(path, F.col("_pattern"))
