@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from ..common import attach
 from ..common import r2 as r2c
 from ..common import top_per
 from ..operators import components as C
@@ -198,7 +199,7 @@ def governance_dimensions(t):
     risk = E.component_risk(t.v_find)
     top = top_per(risk, [], [F.desc("risk_score"), F.asc("component")], 10)
     # Two one-row frames side by side.
-    return S.hotspot_hygiene(ranked).join(S.component_balance(top), F.lit(True))
+    return attach(S.hotspot_hygiene(ranked), S.component_balance(top), [])
 
 
 _LEDGER = """lg AS (SELECT component, count(*) AS n, count(*) FILTER (severity = 'critical') AS review, count(*) FILTER (value < 3) AS expired,

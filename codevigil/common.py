@@ -1,4 +1,4 @@
-"""Helpers every operator shares: scope keys, bounded top-n, bounded broadcast, literals."""
+"""Helpers every operator shares: scope keys, bounded top-n, attaching totals, literals."""
 
 from __future__ import annotations
 
@@ -9,7 +9,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 SCOPE = ("repo", "snapshot")
-BROADCAST_ROWS = 20_000
 
 
 def scope_of(*frames: DataFrame) -> list[str]:
@@ -45,17 +44,14 @@ def same(left: Column, right: Column) -> Column:
     return left.eqNullSafe(right)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> tuple[DataFrame, bool]:
-    """Broadcast hint for ``df`` when it holds at most ``rows`` rows, which is checked by counting."""
-    small = df.limit(rows + 1).count() <= rows
-    return (F.broadcast(df) if small else df), small
+def attach(df: DataFrame, few: DataFrame, scope: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join with a frame of a few rows per repo and snapshot: a total, or a top-n with a fixed n.
 
-
-def hot_keys(rows: DataFrame, keys: Sequence[str], share: int = 200) -> DataFrame:
-    """Keys that hold more than 1/share of all rows. At most ``share`` rows come back, whatever the data."""
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    limit = counts.agg(F.sum("_n").alias("t")).select((F.col("t") / F.lit(share)).alias("t")).scalar()
-    return counts.where(F.col("_n") > limit).drop("_n")
+    Without scope keys the few rows are broadcast; their number is fixed by how they were made.
+    """
+    if scope:
+        return df.join(few, list(scope), how)
+    return df.join(F.broadcast(few), F.lit(True), how)
 
 
 def string_array(values: Iterable[str]) -> Column:

@@ -41,8 +41,8 @@ GOAL_TOKEN_LIMIT = 80
 WORD = "[A-Za-z_][A-Za-z0-9_./-]+"
 
 
-def goal_tokens(text: Column, limit: int | None = GOAL_TOKEN_LIMIT) -> Column:
-    """Distinct words of a goal: 3 or more characters, no stop words, from the first ``limit`` such words."""
+def goal_tokens(text: Column, limit: int | None = None) -> Column:
+    """Distinct words of a goal: 3 or more characters, no stop words; ``limit`` keeps the first such words only."""
     words = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0)), F.lower)
     kept = F.filter(words, lambda t: (F.length(t) >= 3) & ~t.isin(GOAL_STOPWORDS))
     return F.array_distinct(kept if limit is None else F.slice(kept, 1, limit))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..common import count_if, lookup, ordered_list, r2, scope_of, top_per, with_defaults
+from ..common import attach, count_if, lookup, ordered_list, r2, scope_of, top_per, with_defaults
 from ..functions.paths import norm_path
 
 
@@ -178,10 +178,7 @@ def rubric_score(findings: DataFrame, files: DataFrame, weights: Mapping[str, fl
         *[F.sum(F.when(F.col("dimension") == d, quarters).otherwise(0)).alias(d) for d in dims]
     )
     sizes = files.groupBy(*scope).agg(F.count(F.lit(1)).alias("files"))
-    if scope:
-        both = sizes.join(sums, scope, "left")
-    else:
-        both = sizes.join(sums, F.lit(True), "left")  # two one-row frames
+    both = attach(sizes, sums, scope, "left")
     spread = F.greatest(F.lit(1.0), F.sqrt(F.greatest(F.col("files"), F.lit(1)).cast("double")))
 
     def dimension_score(d: str) -> Column:

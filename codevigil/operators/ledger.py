@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..common import count_if, lookup, ordered_list, scope_of, top_per, with_defaults
+from ..common import attach, count_if, lookup, ordered_list, scope_of, top_per, with_defaults
 from ..functions.paths import norm_path, norm_scope_path
 from .findings import normalise_findings
 
@@ -172,7 +172,7 @@ def baseline_row(
     scope = scope_of(scores, ledger)
     left = scores.select(*scope, "overall", "structure", "full")
     right = ledger.select(*scope, "candidate_total", "review_required_total")
-    joined = left.join(right, scope, "left") if scope else left.join(right, F.lit(True), "left")
+    joined = attach(left, right, scope, "left")
     return joined.withColumns({"generated_at": generated_at, "source_mode": source_mode})
 
 
@@ -241,7 +241,7 @@ def refresh_decision(signal: DataFrame, state: DataFrame, interval: int = 5) ->
     ``state``: previous_fingerprint, fingerprint, runs_since_full per scope.
     """
     scope = scope_of(signal, state)
-    joined = state.join(signal, scope, "left") if scope else state.join(signal, F.lit(True), "left")
+    joined = attach(state, signal, scope, "left")
     old = F.coalesce("previous_fingerprint", F.lit(""))
     reasons = F.array_compact(
         F.array(
@@ -316,7 +316,7 @@ def review_trend(events: DataFrame, limit: int = 100) -> DataFrame:
 
     out = base
     for part in (counts("mode"), counts("review_type")):
-        out = out.join(part, scope, "left") if scope else out.join(part, F.lit(True), "left")
+        out = attach(out, part, scope, "left")
     return out.select(
         *scope,
         "event_total",

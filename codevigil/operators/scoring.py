@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..common import clamp, count_if, lookup, r2, scope_of
+from ..common import attach, clamp, count_if, lookup, r2, scope_of
 from ..functions.scores import grade, recommend
 
 Policy = Mapping[str, float] | DataFrame
@@ -156,7 +156,7 @@ def overall_score(full: DataFrame, incremental: DataFrame, policy: Policy | None
     left = full.select(*scope, F.col("score").alias("full_score"), F.col("recommendation").alias("full_verdict"))
     right = incremental.withColumnsRenamed({"score": "incremental_score", "recommendation": "incremental_verdict"})
     # Without scope keys both sides are one-row aggregates.
-    joined = left.join(right, scope) if scope else left.join(right, F.lit(True))
+    joined = attach(left, right, scope)
     df, p = with_policy(joined, policy)
     idle = F.col("mode").isin("no_change", "not_applicable")
     low = (
