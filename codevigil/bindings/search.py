@@ -6,6 +6,7 @@ from ..functions.text import GOAL_STOPWORDS
 from ..operators import components as C
 from ..operators import findings as E
 from ..operators import search as Q
+from ..session import materialise
 from . import register
 from .findings import SPOTS
 from .views import r2, rounded
@@ -69,13 +70,15 @@ def part_signatures(t):
 
 def part_weights(t):
     goals = part_goals(t)
-    return goals, Q.token_weights(goals, t.v_parts.select(F.col("path").alias("text")))
+    return goals, materialise(Q.token_weights(goals, t.v_parts.select(F.col("path").alias("text"))), "weights")
 
 
 def scored(t):
     goals, weights = part_weights(t)
     hot = part_files(t).select("path", F.lit(0).alias("critical"), F.col("p_size").alias("warning")).where("warning > 40")
-    return Q.score_files(part_files(t), part_signatures(t), part_descriptors(t), goals, weights, hot)
+    rows = Q.score_files(part_files(t), part_signatures(t), part_descriptors(t), goals, weights, hot)
+    # The score table feeds the cut, the component scores, the targets and the batches.
+    return materialise(rows, "scores")
 
 
 _GOALS = f"""fi AS (SELECT path, concat('pkg:', lower(replace(p_brand, '#', ''))) AS component, p_partkey, p_name, p_size FROM v_parts),
@@ -143,13 +146,13 @@ _TARGETS = f"""{_CUT}, cc AS (SELECT goal_id, component, path, score, row_number
     ch2 AS (SELECT ca.*, tier, row_number() OVER (PARTITION BY goal_id ORDER BY pos) AS rank FROM ca JOIN bt USING (goal_id) WHERE tr <= tier OR tier = 3)"""
 
 
-def targets(t):
+def targets(t, cut=None):
     goals = part_goals(t)
-    ranked = Q.component_goal(Q.cut_candidates(scored(t)))
+    ranked = Q.component_goal(Q.cut_candidates(scored(t)) if cut is None else cut)
     d = part_descriptors(t)
     roles = d.select("component", (F.col("layer_role") == "interface_adapter").alias("infra"))
     spots = E.hotspots(t.v_find, 30, details=False).withColumn("component", F.concat(F.substring_index("path", "/", 1), F.lit(":core")))
-    return Q.target_components(ranked, goals, roles, spots)
+    return materialise(Q.target_components(ranked, goals, roles, spots), "targets")
 
 
 @register(
@@ -171,7 +174,7 @@ def _batches(t):
     spots = part_files(t).where("p_size > 45").orderBy(F.desc("p_size"), "path").limit(24).select("path", F.lit(1).alias("rank"))
     d = part_descriptors(t)
     scores = d.select("component", F.when(F.col("confidence") < 0.3, "block").otherwise("approve").alias("recommendation"), F.lit(0).alias("critical"), "layer_role")
-    return Q.change_batches(targets(t), evidence, files, spots, scores)
+    return Q.change_batches(targets(t, cut), evidence, files, spots, scores)
 
 
 @register("change_batches")
@@ -186,8 +189,9 @@ def batch_focus_files(t):
 
 @register(
     "match_tests",
-    """WITH te AS (SELECT concat('tests/test_', replace(p_name, ' ', '_'), '_', p_partkey, '.py') AS path, p_name, p_brand, p_partkey FROM part),
-    hi AS (SELECT p_type AS "group", p_size AS ord, unnest(list_slice(list_sort(list_distinct(flatten(list([split_part(p_name, ' ', 1), concat('_', p_partkey % 97, '.')])))), 1, 12)) AS hint FROM part GROUP BY ALL),
+    """WITH te AS (SELECT concat('tests/test_', replace(p_name, ' ', '_'), '_', p_partkey, '.py') AS path FROM part),
+    hl AS (SELECT p_type AS "group", p_size AS ord, list_slice(list_sort(list_distinct(flatten(list([split_part(p_name, ' ', 1), concat('_', p_partkey % 97, '.')])))), 1, 12) AS hs FROM part GROUP BY p_type, p_size),
+    hi AS (SELECT "group", ord, unnest(hs) AS hint FROM hl),
     hh AS (SELECT "group", path, min(ord) AS ord FROM hi JOIN te ON contains(lower(path), hint) GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY ord, path) AS rank FROM hh)
     SELECT "group", path, CAST(rank AS INT) AS rank FROM r WHERE rank <= 20""",

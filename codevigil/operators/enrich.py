@@ -188,7 +188,7 @@ DECISIONS = ["keep_active", "review", "archive_first", "retire_now"]
 def normalise_judgements(judgements: DataFrame) -> DataFrame:
     """Known decisions only (others mean review, archive_first on source too); the first row per path wins."""
     scope = scope_of(judgements)
-    text = F.regexp_replace(F.lower(F.trim(F.coalesce("decision", F.lit("")))), "[- ]", "_")
+    text = F.lower(F.trim(F.coalesce("decision", F.lit(""))))
     known = F.when(text.isin(DECISIONS), text).otherwise("review")
     decision = F.when((known == "archive_first") & (F.coalesce("kind", F.lit("")) == "source"), "review").otherwise(known)
     rows = judgements.select(
