@@ -51,7 +51,9 @@ def sources(t):
     )
     path = F.concat(F.lit("src/talk/sub/report_c"), conv, F.lit("_t"), turn, F.lit(".py"))
     drop = F.when(conv % 3 == 0, 0).when(conv % 3 == 1, 1).otherwise(2)
-    return rows.select(path.alias("path"), text.alias("text"), "conv_id", "turn", "role", F.size("w").alias("words"), drop.alias("drop"))
+    out = rows.select(path.alias("path"), text.alias("text"), "conv_id", "turn", "role", F.size("w").alias("words"), drop.alias("drop"))
+    # Parsing is the costly part: spread the files over all cores, however few blocks they came from.
+    return out.repartition(t.spark.sparkContext.defaultParallelism, "path")
 
 
 _SRC = """sw AS (SELECT *, concat('src/talk/sub/report_c', conv_id, '_t', turn, '.py') AS path, list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda w: length(w) % 4) AS ks FROM conversations),
@@ -60,7 +62,7 @@ _SRC = """sw AS (SELECT *, concat('src/talk/sub/report_c', conv_id, '_t', turn,
     ok AS (SELECT *, 8 * k0 + 10 * k1 + 9 * k2 + 9 * k3 AS body, CASE WHEN turn % 3 = 0 THEN 6 ELSE 3 END AS tail FROM sr WHERE conv_id % 11 <> 10 AND conv_id % 13 <> 12),
     fn AS (SELECT path, 7 AS line, concat(role, '_step', turn) AS symbol, 5 + body + tail AS node_count, concat_ws(',', 'f', turn % 3 = 0, array_to_string(ks, '')) AS shape,
         CASE WHEN turn % 3 = 0 AND k1 = 0 AND len(ks) <= 3 THEN concat('helper_', conv_id % 2) ELSE '' END AS thin_wrapper_call FROM ok
-      UNION ALL SELECT path, 14 + len(ks) + k1, concat(upper(left(role, 1)), substr(role, 2), 'Parser.parse'), 5 + body + 3, concat_ws(',', 'm', array_to_string(ks, '')), '' FROM ok),
+      UNION ALL SELECT path, 15 + len(ks) + k1, concat(upper(left(role, 1)), substr(role, 2), 'Parser.parse'), 5 + body + 3, concat_ws(',', 'm', array_to_string(ks, '')), '' FROM ok),
     fs AS (SELECT * FROM fn WHERE node_count >= 25)"""
 
 
@@ -88,7 +90,8 @@ def ast_near_duplicates(t):
 @register(
     "symbol_features",
     f"""WITH {_SRC}, sy AS (SELECT path, concat(role, '_step', turn) AS symbol, 'function' AS symbol_kind, 5 + body + tail AS node_count, k1, k3, 2 AS parameter_count, 0 AS member_count FROM ok
-      UNION ALL SELECT path, concat(upper(left(role, 1)), substr(role, 2), 'Parser'), 'class', 18 + body + 3, k1, k3, 1, 2 FROM ok)
+      UNION ALL SELECT path, concat(upper(left(role, 1)), substr(role, 2), 'Parser.parse'), 'function', 8 + body, k1, k3, 2, 0 FROM ok
+      UNION ALL SELECT path, concat(upper(left(role, 1)), substr(role, 2), 'Parser'), 'class', 20 + body, k1, k3, 1, 2 FROM ok)
     SELECT path, symbol, symbol_kind, CAST(node_count AS INT) AS node_count, CAST(k1 AS DOUBLE) AS ifs, CAST(k3 AS DOUBLE) AS ors, parameter_count, member_count FROM sy
     WHERE node_count >= CASE symbol_kind WHEN 'class' THEN 90 ELSE 45 END""",
 )
@@ -105,21 +108,22 @@ def symbol_features(t):
 
 @register("ast_shadow_pairs")
 def ast_shadow_pairs(t):
-    rows = M.shadow_pairs(materialise(B.extract_symbols(sources(t)), "symbols"))
-    return rows.select(F.col("primary.path").alias("path"), F.col("existing.path").alias("existing"), "symbol_kind", "confidence")
+    """Twenty conversations make a repository; pairs lie within one."""
+    files = sources(t).withColumn("repo", F.concat(F.lit("r"), F.floor(F.col("conv_id") / 20)))
+    rows = M.shadow_pairs(materialise(B.extract_symbols(files), "symbols"))
+    return rows.select("repo", "rank", F.col("primary.path").alias("path"), F.col("existing.path").alias("existing"), "symbol_kind", "confidence")
 
 
 @register("ast_module_pairs")
 def ast_module_pairs(t):
-    modules = materialise(B.extract_modules(sources(t)).where("reason IS NULL"), "modules")
-    return M.module_totals(modules).select(F.coalesce("pair_total", F.lit(0)).alias("pair_total"))
+    files = sources(t).withColumn("repo", F.concat(F.lit("r"), F.floor(F.col("conv_id") / 20)))
+    modules = materialise(B.extract_modules(files).where("reason IS NULL"), "modules")
+    return M.module_totals(modules)
 
 
 @register(
     "module_exclusions",
-    f"""WITH {_SRC}, m AS (SELECT conv_id, CASE WHEN conv_id % 11 = 10 THEN 11 ELSE 0 END AS x FROM sr),
-    n AS (SELECT 20 + 5 + body + tail + 18 + body + 3 AS nodes FROM ok)
-    SELECT 'too_small' AS reason, (SELECT count(*) FROM sr WHERE conv_id % 11 = 10) + (SELECT count(*) FROM ok WHERE 17 + 5 + body + tail + 18 + body + 3 < 220) AS n
+    f"""WITH {_SRC} SELECT 'too_small' AS reason, (SELECT count(*) FROM sr WHERE conv_id % 11 = 10) + (SELECT count(*) FROM ok WHERE 35 + 2 * body + tail < 220) AS n
     UNION ALL SELECT 'parse_error', count(*) FROM sr WHERE conv_id % 11 <> 10 AND conv_id % 13 = 12""",
 )
 def module_exclusions(t):

@@ -68,7 +68,7 @@ def stream_registry(t):
 
 @register(
     "stream_extraction",
-    "SELECT count(*) AS files, CAST(sum(CASE WHEN regexp_matches(lower(text), '[a-z]') THEN 1 ELSE 0 END) AS BIGINT) AS with_words FROM conversations",
+    "SELECT count(*) AS files, count(*) FILTER (regexp_matches(lower(text), '[a-z]')) AS with_words FROM conversations WHERE conv_id % 11 = 10 OR conv_id % 13 <> 12",
 )
 def stream_extraction(t):
     """Every conversation turn is a source file; the second drop repeats the first, unchanged."""

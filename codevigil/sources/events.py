@@ -33,7 +33,7 @@ def build_events(reviews: DataFrame, now: Column) -> DataFrame:
     blank = F.lit("")
     return reviews.select(
         *scope_of(reviews),
-        now.alias("generated_at"),
+        now.cast("timestamp").alias("generated_at"),
         F.coalesce("mode", blank).alias("mode"),
         F.coalesce("review_type", blank).alias("review_type"),
         "scores",
