@@ -13,7 +13,8 @@ from ..sources import extract as B
 from ..sources import files as Z
 from . import register
 
-WORDS = F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
+def words():
+    return F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))
 
 
 def _statements(words, pad):
@@ -33,7 +34,7 @@ def sources(t):
     """path, text (Python source), and the words it was made from; a few files are broken or re-exports."""
     c = t.conversations
     turn, conv = F.col("turn"), F.col("conv_id")
-    rows = c.select("conv_id", "turn", "role", WORDS.alias("w"))
+    rows = c.select("conv_id", "turn", "role", words().alias("w"))
     head = F.concat(
         F.lit("import os.path as p\nfrom pkg"), conv % 5, F.lit(".core import alpha, beta\nfrom . import sib"), turn,
         F.lit("\nfrom ..up import z\n\n\n"),

@@ -167,7 +167,7 @@ def _event_lines(t):
     """Events as JSON lines, some of them blank or broken; one file per month written with its month."""
     folder = _workspace(t, "lines")
     rows = V.build_events(event_rows(t), F.col("generated_at")).withColumn("ord", F.unix_micros("generated_at"))
-    line = F.to_json(F.struct(*[c for c in rows.columns if c != "ord"]))
+    line = F.to_json(F.struct(*[c for c in rows.columns if c != "ord"]), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
     broken = F.when(F.col("ord") % 97 == 0, "{broken").when(F.col("ord") % 89 == 0, "").otherwise(line)
     rows.select("ord", broken.alias("value")).orderBy("ord").select("value").coalesce(1).write.text(folder)
     return folder

@@ -89,7 +89,7 @@ def is_excluded_path(path: Column) -> Column:
 
 def code_likeness(text: Column) -> Column:
     """True when the first 40 non-blank lines score 3 or more in one of three languages."""
-    lines = F.slice(F.filter(F.transform(F.split(text, r"\r?\n|\r"), F.trim), lambda s: s != ""), 1, 40)
+    lines = F.slice(F.filter(F.transform(F.split(text, r"\r?\n|\r"), lambda v: F.trim(v)), lambda s: s != ""), 1, 40)
 
     def points(*rules: tuple[str, int]) -> Column:
         def line_points(line: Column) -> Column:

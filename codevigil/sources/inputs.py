@@ -121,7 +121,7 @@ def read_path_list(lists: DataFrame) -> DataFrame:
         ),
     ).when(value.startswith("{"), wrapped)
     separator = F.when(value.contains("\n"), "\n").otherwise(",")
-    split = F.transform(F.split(value, separator), F.trim)
+    split = F.transform(F.split(value, separator), lambda v: F.trim(v))
     paths = F.when(F.size(F.coalesce(from_list, F.array().cast("array<string>"))) > 0, from_list).otherwise(split)
     extra = [c for c in lists.columns if c != "value"]
     rows = lists.select(*extra, F.posexplode(paths).alias("ord", "raw"))
@@ -267,7 +267,7 @@ def _texts(item: Column, key: str) -> Column:
     raw = F.get_json_object(item, f"$.{key}")
     values = F.when(raw.startswith("["), F.from_json(raw, "array<string>")).when(raw.isNotNull(), F.array(raw))
     none = F.array().cast("array<string>")
-    return F.filter(F.transform(F.coalesce(values, none), F.trim), lambda v: F.coalesce(v, F.lit("")) != "")
+    return F.filter(F.transform(F.coalesce(values, none), lambda v: F.trim(v)), lambda v: F.coalesce(v, F.lit("")) != "")
 
 
 # Names a plan field may have
