@@ -44,15 +44,14 @@ def path_keys(path: Column, directories: bool) -> Column:
     return F.concat(segments, ends, F.transform(ancestors(path), lambda a: F.concat(F.lit("d:"), a)))
 
 
-def wildcard_key(pattern: Column) -> Column:
-    """Longest segment without wildcard, else the literal suffix, else every path."""
+def wildcard_keys(pattern: Column) -> Column:
+    """Keys every path matching the pattern holds: its literal segments, else its literal suffix, else all."""
     literal = F.filter(F.split(pattern, "/"), lambda s: (s != "") & ~has_wildcard(s))
-    longest = F.get(F.reverse(F.array_sort(F.transform(literal, lambda s: F.struct(F.length(s).alias("n"), s.alias("s"))))), F.lit(0))
     suffix = F.regexp_extract(pattern, r"(\.[^./*?\[\]]+)$", 1)
     return (
-        F.when(longest.isNotNull(), F.concat(F.lit("s:"), longest["s"]))
-        .when(suffix != "", F.concat(F.lit("e:"), suffix))
-        .otherwise(F.lit(ALL))
+        F.when(F.size(literal) > 0, F.transform(literal, lambda s: F.concat(F.lit("s:"), s)))
+        .when(suffix != "", F.array(F.concat(F.lit("e:"), suffix)))
+        .otherwise(F.array(F.lit(ALL)))
     )
 
 
@@ -61,29 +60,32 @@ def pattern_pairs(paths: DataFrame, patterns: DataFrame, mode: str = "any") -> D
 
     ``mode``: ``any`` (directory, glob or right-anchored), ``plan`` (glob only with a
     wildcard, else directory), ``overlay`` (rule_path as directory and rule_glob as
-    glob, both optional).
+    glob, both optional). Equal patterns are matched once. Of the keys a pattern could
+    use, it takes the one fewest paths hold.
     """
     scope = scope_of(paths, patterns)
+    ident = ["rule_path", "rule_glob"] if mode == "overlay" else ["pattern"]
     clean = paths.withColumn("_path", norm_scope_path(F.col("path"))).where("_path <> ''")
     left = clean.withColumn("_key", F.explode(path_keys(F.col("_path"), mode != "any")))
-    bare = norm_scope_path(F.col("pattern"))
+    bare = norm_scope_path(F.col(ident[0]))
+    directory = F.array(F.concat(F.lit("d:"), bare))
     if mode == "overlay":
-        fixed_path = norm_scope_path(F.col("rule_path"))
-        key = (
-            F.when(fixed_path != "", F.concat(F.lit("d:"), fixed_path))
-            .when(F.coalesce("rule_glob", F.lit("")) != "", wildcard_key(F.col("rule_glob")))
-            .otherwise(F.lit(ALL))
-        )
-        right = patterns.withColumns({"_pattern": bare, "_key": key})
+        glob = F.coalesce("rule_glob", F.lit(""))
+        keys = F.when(bare != "", directory).when(glob != "", wildcard_keys(glob)).otherwise(F.array(F.lit(ALL)))
     else:
-        directory = F.concat(F.lit("d:"), bare)
-        literal = directory if mode == "plan" else wildcard_key(bare)
-        key = F.when(has_wildcard(bare), wildcard_key(bare)).otherwise(literal)
-        right = patterns.withColumns({"_pattern": bare, "_key": key}).where("_pattern <> ''")
-    pairs = left.join(right.drop("path"), [*scope, "_key"])
+        keys = F.when(has_wildcard(bare), wildcard_keys(bare)).otherwise(directory if mode == "plan" else wildcard_keys(bare))
+    once = patterns.select(*scope, *ident).distinct().withColumns({"_pattern": bare, "_keys": keys})
+    if mode != "overlay":
+        once = once.where("_pattern <> ''")
+    offered = once.select(*scope, *ident, F.explode("_keys").alias("_key"))
+    held = left.groupBy(*scope, "_key").agg(F.count(F.lit(1)).alias("_n"))
+    best = offered.join(held, [*scope, "_key"], "left").groupBy(*scope, *ident).agg(
+        F.min_by("_key", F.struct(F.coalesce("_n", F.lit(0)), F.col("_key"))).alias("_key")
+    )
+    pairs = left.join(best.withColumn("_pattern", norm_scope_path(F.col(ident[0]))), [*scope, "_key"])
     path = F.col("_path")
     if mode == "overlay":
-        rule_path, rule_glob = norm_scope_path(F.col("rule_path")), F.coalesce("rule_glob", F.lit(""))
+        rule_path, rule_glob = F.col("_pattern"), F.coalesce("rule_glob", F.lit(""))
         in_path = (rule_path == "") | (path == rule_path) | path.startswith(F.concat(rule_path, F.lit("/")))
         globbed = F.rlike(path, glob_regex_column(rule_glob)) | F.rlike(path, right_anchor_regex_column(rule_glob))
         check = in_path & ((rule_glob == "") | globbed)
@@ -91,7 +93,8 @@ def pattern_pairs(paths: DataFrame, patterns: DataFrame, mode: str = "any") -> D
         check = plan_path_matches(path, F.col("_pattern"))
     else:
         check = path_matches(path, F.col("_pattern"))
-    return pairs.where(check).drop("_key", "_path", "_pattern")
+    matched = pairs.where(check).drop("_key", "_path", "_pattern")
+    return matched.join(patterns.drop("path"), [*scope, *ident])
 
 
 def pieces(text: Column, size: int) -> Column:
