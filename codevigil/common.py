@@ -35,15 +35,6 @@ def ordered_list(value: Column, order: Column) -> Column:
     return F.transform(rows, lambda r: r["v"])
 
 
-def first_by(value: Column, *order: Column) -> Column:
-    """Aggregate: the value of the row that comes first in ``order`` (ascending)."""
-    return F.min_by(value, F.struct(*[c.alias(f"k{i}") for i, c in enumerate(order)]))
-
-
-def same(left: Column, right: Column) -> Column:
-    return left.eqNullSafe(right)
-
-
 def attach(df: DataFrame, few: DataFrame, scope: Sequence[str], how: str = "inner") -> DataFrame:
     """Join with a frame of a few rows per repo and snapshot: a total, or a top-n with a fixed n.
 
