@@ -345,7 +345,7 @@ def crc_joined(first: int, second: int, length: int) -> int:
 def token_digests(spark: SparkSession, folder: str) -> DataFrame:
     """From the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32."""
     schema = "uid long, doc_id long, piece int, n long, crc long"
-    pieces = read_blocks(spark, folder, lambda ids: (zlib.crc32(ids.astype("<u4").tobytes()),), schema)
+    pieces = stored(read_blocks(spark, folder, lambda ids: (zlib.crc32(ids.astype("<u4").tobytes()),), schema), "token-pieces")
 
     @F.udf("long")
     def folded(parts):
@@ -354,10 +354,13 @@ def token_digests(spark: SparkSession, folder: str) -> DataFrame:
             crc = crc_joined(crc, one, 4 * n)
         return crc
 
-    rows = F.collect_list(F.struct("piece", "n", "crc"))  # a document's blocks: one for each 2**20 ids
-    docs = pieces.groupBy("uid", "doc_id").agg(F.sum("n").alias("n_tokens"), rows.alias("parts"))
-    crc = F.when(F.size("parts") == 1, F.col("parts")[0]["crc"]).otherwise(folded("parts"))
-    docs = docs.select("uid", "doc_id", "n_tokens", crc.alias("ids_crc32"))
+    # Only documents of several blocks need their checksums joined.
+    long_ones = pieces.where("piece = 1").select("uid", "doc_id").distinct()
+    keys = [pieces["doc_id"].eqNullSafe(long_ones["doc_id"]), pieces["uid"] == long_ones["uid"]]
+    short = pieces.join(long_ones, keys, "left_anti").select("uid", "doc_id", F.col("n").alias("n_tokens"), F.col("crc").alias("ids_crc32"))
+    several = pieces.join(long_ones, keys, "left_semi").groupBy("uid", "doc_id")
+    several = several.agg(F.sum("n").alias("n_tokens"), F.collect_list(F.struct("piece", "n", "crc")).alias("parts"))  # one for each 2**20 ids
+    docs = short.unionByName(several.select("uid", "doc_id", "n_tokens", folded("parts").alias("ids_crc32")))
     return running_start(docs).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
