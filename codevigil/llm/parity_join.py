@@ -1,8 +1,8 @@
 """N-gram Jaccard join by parity sketches.
 
 Two sets with similarity num/den or more differ in at most d elements, d growing with their
-size. The elements of a set are hashed into m > d blocks (m a power of two that follows the
-size: the size bands), and each block keeps the parity of its elements as 64 bits. By the
+size. The elements of a set are hashed into m > d blocks (m follows the size in steps: the size
+bands), and each block keeps the parity of its elements as 64 bits. By the
 pigeonhole principle at least m - d blocks of such a pair agree, so both sets share one of
 their first d + 1 blocks in any fixed order of block sketches; the order here puts sketches
 with many bits first, because they are the rarest. Sharing a block makes a candidate, a wider
@@ -38,8 +38,11 @@ def most_different(size: int, num: int, den: int) -> int:
 
 
 def band(size: int, num: int, den: int) -> int:
-    """log2 of the number of blocks for pairs whose larger set has this size."""
-    return max(1, int(np.ceil(np.log2(1.5 * (most_different(size, num, den) + 1)))))
+    """Number of blocks for pairs whose larger set has this size: the first of 2, 3, 4, 6, 9, ... over d."""
+    blocks = 2
+    while blocks <= most_different(size, num, den):
+        blocks = blocks * 3 // 2
+    return blocks
 
 
 def block_keys(elements: np.ndarray, num: int, den: int) -> np.ndarray:
@@ -50,45 +53,56 @@ def block_keys(elements: np.ndarray, num: int, den: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     bits = np.uint64(1) << (elements & np.uint64(63))
     out = []
-    for level in {band(size, num, den), band(size * den // num, num, den)}:
-        block = (elements >> np.uint64(64 - level)).astype(np.int64)
+    smallest, largest = band(size, num, den), band(size * den // num, num, den)
+    blocks = smallest
+    while blocks <= largest:
+        block = ((elements >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
         heads = np.flatnonzero(np.diff(block, prepend=-1))
-        sketch = np.zeros(1 << level, np.uint64)
+        sketch = np.zeros(blocks, np.uint64)
         sketch[block[heads]] = np.bitwise_xor.reduceat(bits, heads)
-        names = np.arange(1 << level, dtype=np.uint64) + np.uint64((level + 1) << 40)
+        names = np.arange(blocks, dtype=np.uint64) + np.uint64(blocks << 32)
         keys = mix(mix(names) ^ (sketch * np.uint64(0x9E3779B97F4A7C15)))
         order = np.lexsort((keys, -np.bitwise_count(sketch).astype(np.int64)))
         out.append(keys[order[: most + 1]])
+        blocks = blocks * 3 // 2
     return np.concatenate(out)
 
 
-def wide_sketch(elements: np.ndarray) -> bytes:
-    """Parity of the elements in ``WIDE`` bits."""
+def wide_sketch(elements: np.ndarray) -> np.ndarray:
+    """Parity of the elements in ``WIDE`` bits, as 64-bit integers."""
     place = (mix(elements) >> np.uint64(54)).astype(np.int64) % WIDE
-    return np.packbits((np.bincount(place, minlength=WIDE) & 1).astype(np.uint8)).tobytes()
+    return np.packbits((np.bincount(place, minlength=WIDE) & 1).astype(np.uint8)).view(np.int64)
 
 
 def _signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    schema = "doc_id long, n_shingles long, d1 long, d2 long, sketch binary, keys array<long>"
+    schema = "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, keys array<long>"
 
     def step(batch: pa.RecordBatch):
         ids = batch.column(0)
-        rows, seen = [], set()
+        numbers = ids.to_pylist()
+        rows, seen = [], {}
         with np.errstate(over="ignore"):
             for row, elements in shingle_sets(batch.column(1), k):
-                d1 = int(signed(np.bitwise_xor.reduce(mix(elements + np.uint64(1)), keepdims=True))[0]) if len(elements) else 0
-                d2 = int(signed(np.sum(mix(elements ^ np.uint64(0xABCDEF12345)), dtype=np.uint64, keepdims=True))[0]) if len(elements) else 0
-                name = (len(elements), d1, d2)
-                if name in seen or not len(elements):  # one text of many equal ones carries the keys
-                    rows.append((row, len(elements), d1, d2, None, None))
+                size = len(elements)
+                d1 = int(signed(np.bitwise_xor.reduce(mix(elements + np.uint64(1)), keepdims=True))[0]) if size else 0
+                d2 = int(signed(np.sum(mix(elements ^ np.uint64(0xABCDEF12345)), dtype=np.uint64, keepdims=True))[0]) if size else 0
+                rows.append([row, size, d1, d2, None, None])
+                if not size or numbers[row] is None:
+                    continue
+                # Of equal texts in a batch, the one with the smallest id carries sketch and keys.
+                first = seen.get((size, d1, d2))
+                if first is None:
+                    rows[-1][4:] = [wide_sketch(elements), signed(block_keys(elements, num, den))]
+                elif numbers[row] < numbers[first]:
+                    rows[row][4:], rows[first][4:] = rows[first][4:], [None, None]
                 else:
-                    seen.add(name)
-                    rows.append((row, len(elements), d1, d2, wide_sketch(elements), signed(block_keys(elements, num, den))))
+                    continue
+                seen[size, d1, d2] = row
         keys = [r[5] for r in rows]
         offsets = np.cumsum([0, *[0 if x is None else len(x) for x in keys]])
         flat = [x for x in keys if x is not None and len(x)]
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int64()))
-        columns = [ids.cast(pa.int64()), *[pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3)], pa.array([r[4] for r in rows], pa.binary()), lists]
+        columns = [ids.cast(pa.int64()), *[pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3)], pa.array([r[4] for r in rows], pa.list_(pa.int64())), lists]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "d1", "d2", "sketch", "keys"])
 
     return on_batches(docs, step, schema)
@@ -131,51 +145,69 @@ def _across(groups: DataFrame, num: int, den: int) -> DataFrame:
     Pairs that the sketches rule out are never made rows.
     """
 
-    def pairs(rows: pa.Table):
+    def pairs(rows: pa.Table, last: np.ndarray):
+        """Pairs within runs; ``last`` is the end of each row's run."""
         node, side = rows["node"].to_numpy(), rows["side"].to_numpy()
         component, size = rows["component"].to_numpy(), rows["n"].to_numpy()
-        sketch = np.frombuffer(b"".join(rows["sketch"].to_pylist()), np.uint64).reshape(len(node), -1)
-        left = np.flatnonzero(side == 0)
-        right = np.flatnonzero(side == 1) if (side == 1).any() else left
-        for x in left:
-            other = right[(component[right] != component[x]) & (node[right] != node[x])]
-            total = size[other] + size[x]
-            other = other[np.minimum(size[other], size[x]) * den >= np.maximum(size[other], size[x]) * num]
-            total = size[other] + size[x]
-            gap = np.bitwise_count(sketch[other] ^ sketch[x]).sum(1, dtype=np.int64)
-            other = other[gap * (den + num) <= (den - num) * total]
-            for y in other:
-                yield min(int(node[x]), int(node[y])), max(int(node[x]), int(node[y]))
+        split = rows["i"].to_numpy() != rows["j"].to_numpy()
+        sketch = rows["sketch"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        x, shift = np.arange(len(node)), 1
+        while len(x := x[x + shift < last[x]]):
+            y = x + shift
+            fit = (component[x] != component[y]) & (~split[x] | (side[x] != side[y]))
+            fit &= np.minimum(size[x], size[y]) * den >= np.maximum(size[x], size[y]) * num
+            one, two = x[fit], y[fit]
+            gap = np.bitwise_count(sketch[one] ^ sketch[two]).sum(1, dtype=np.int64)
+            near = gap * (den + num) <= (den - num) * (size[one] + size[two])
+            one, two = node[one[near]], node[two[near]]
+            yield np.stack([np.minimum(one, two), np.maximum(one, two)], 1)
+            shift += 1
 
     def run(batches):
         held = None
         for batch in batches:
+            if not batch.num_rows:
+                continue
             rows = pa.Table.from_batches([batch])
             if held is not None:
                 rows = pa.concat_tables([held, rows])
             key, i, j = (rows[c].to_numpy() for c in ("key", "i", "j"))
             edge = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-            cut = np.concatenate([[0], edge])
-            yield from give({p for a, b in zip(cut[:-1], cut[1:]) for p in pairs(rows.slice(int(a), int(b - a)))})
-            held = rows.slice(int(cut[-1])).combine_chunks()
+            cut = np.concatenate([[0], edge, [len(key)]])
+            done = int(cut[-2])
+            yield from give(rows.slice(0, done), np.repeat(cut[1:-1], np.diff(cut[:-1])))
+            held = rows.slice(done).combine_chunks()
         if held is not None:
-            yield from give(set(pairs(held)))
+            yield from give(held, np.full(held.num_rows, held.num_rows))
 
-    def give(found):
-        if found:
-            a, b = zip(*sorted(found))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+    def give(rows, last):
+        found = list(pairs(rows, last)) if rows.num_rows else []
+        if found and len(both := np.unique(np.concatenate(found), axis=0)):
+            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     return groups.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(run, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs whose sets are similar enough."""
+def _possible(pairs: DataFrame, about: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs that sizes and wide sketches do not rule out."""
+    left = about.toDF("a", "n_a", "s_a")
+    right = about.toDF("b", "n_b", "s_b")
+    gap = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
+    both = pairs.join(left, "a").join(right, "b")
+    sizes = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
+    return both.where(sizes & (gap * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))).select("a", "b")
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Pairs whose sets are similar enough. Only the texts of documents in pairs are read into sets."""
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    chosen = texts.join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
+    sets = stored(_sets(chosen, k), "parity-sets")
     left = sets.select(F.col("node").alias("a"), F.col("elements").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("elements").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", common.alias("c"), (F.size("x") + F.size("y")).alias("s"))
-    return both.where(F.col("c") * (num + den) >= F.col("s") * num).select("a", "b")
+    return stored(both.where(F.col("c") * (num + den) >= F.col("s") * num).select("a", "b"), "parity-links")
 
 
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,19 +225,15 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     keys = held.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
     shared = stored(_shared_keys(keys), "parity-shared")
 
-    members = shared.select("node").distinct()
-    chosen = texts.join(members, F.col("doc_id") == F.col("node"), "left_semi")
-    sets = stored(_sets(chosen, k), "parity-sets")
-
+    about = named.where("sketch is not null").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"])
     hubs = shared.groupBy("key").agg(F.min("node").alias("a"))
     star = shared.join(hubs, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    star = stored(star, "parity-star")
-    links = stored(_verified(star, sets, num, den), "parity-links")
+    star = stored(_possible(star, about, num, den), "parity-star")
+    links = _verified(star, texts, k, num, den)
     found = stored(components(links, "parity"), "parity-components")
 
     placed = shared.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
-    about = named.select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch").where("sketch is not null").dropDuplicates(["node"])
     tiles = F.ceil(F.col("c") / TILE).cast("long")
     open_rows = placed.join(mixed.select("key", tiles.alias("tiles")), "key").join(about, "node")
     own = F.pmod(F.xxhash64("node"), F.col("tiles"))
@@ -220,9 +248,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         "n",
         "sketch",
     )
-    rest = _across(groups, num, den).join(star, ["a", "b"], "left_anti")
-    more = stored(_verified(rest, sets, num, den), "parity-more")
-    if not more.isEmpty():
+    rest = stored(_across(groups, num, den).join(star, ["a", "b"], "left_anti"), "parity-rest")
+    if not rest.isEmpty():
+        more = _verified(rest, texts, k, num, den)
         found = stored(components(links.unionByName(more), "parity"), "parity-components")
 
     label = node.join(found, "node", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "node").alias("component_id"))
