@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -18,14 +17,21 @@ from ..session import shared_dir
 SLICE = 1 << 20
 
 
+#: Spark removes the shuffle files of a query once it has ended.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` into the shared folder and read it back; shuffle files behind it are released."""
-    path = f"{shared_dir(df.sparkSession)}/codevigil/llm-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    gc.collect()
-    df.sparkSession._jvm.System.gc()
-    return out
+    """Write ``df`` into the shared folder and read it back; the shuffle files behind it go."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/codevigil/llm-{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def text_slices(column: pa.Array, limit: int = SLICE) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:

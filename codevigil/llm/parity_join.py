@@ -233,7 +233,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     found = stored(components(links, "parity"), "parity-components")
 
     placed = shared.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi")
+    mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi and c > 2")  # a pair has been compared
     tiles = F.ceil(F.col("c") / TILE).cast("long")
     open_rows = placed.join(mixed.select("key", tiles.alias("tiles")), "key").join(about, "node")
     own = F.pmod(F.xxhash64("node"), F.col("tiles"))
