@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import components, mix, on_batches, signed, stored
 from .shingles import shingle_sets
 
-#: Bits of the wide sketch that prunes candidates.
-WIDE = 1024
+#: Bits of the short sketch; the wide one has as many as the set has elements, or more.
+SHORT = 1024
 #: Members of one block that one task compares with one another; larger groups are split into tiles.
 TILE = 1024
 
@@ -69,13 +69,18 @@ def block_keys(elements: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def wide_sketch(elements: np.ndarray) -> np.ndarray:
-    """Parity of the elements in ``WIDE`` bits, as 64-bit integers."""
-    place = (mix(elements) >> np.uint64(54)).astype(np.int64) % WIDE
-    return np.packbits((np.bincount(place, minlength=WIDE) & 1).astype(np.uint8)).view(np.int64)
+    """Parity of the elements by the low bits of their hash, as 64-bit integers; folds to any smaller power of two."""
+    width = max(SHORT, 1 << (len(elements) - 1).bit_length())
+    place = (mix(elements) >> np.uint64(32)).astype(np.int64) & (width - 1)
+    return np.packbits((np.bincount(place, minlength=width) & 1).astype(np.uint8)).view(np.int64)
+
+
+def short_sketch(wide: np.ndarray) -> np.ndarray:
+    return np.bitwise_xor.reduce(wide.reshape(-1, SHORT // 64), axis=0)
 
 
 def _signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    schema = "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, keys array<long>"
+    schema = "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, wide array<long>, keys array<long>"
 
     def step(batch: pa.RecordBatch):
         ids = batch.column(0)
@@ -102,8 +107,8 @@ def _signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         offsets = np.cumsum([0, *[0 if x is None else len(x) for x in keys]])
         flat = [x for x in keys if x is not None and len(x)]
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int64()))
-        columns = [ids.cast(pa.int64()), *[pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3)], pa.array([r[4] for r in rows], pa.list_(pa.int64())), lists]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "d1", "d2", "sketch", "keys"])
+        columns = [ids.cast(pa.int64()), *[pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3)], pa.array([None if r[4] is None else short_sketch(r[4]) for r in rows], pa.list_(pa.int64())), pa.array([r[4] for r in rows], pa.list_(pa.int64())), lists]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "d1", "d2", "sketch", "wide", "keys"])
 
     return on_batches(docs, step, schema)
 
@@ -150,7 +155,7 @@ def _across(groups: DataFrame, num: int, den: int) -> DataFrame:
         node, side = rows["node"].to_numpy(), rows["side"].to_numpy()
         component, size = rows["component"].to_numpy(), rows["n"].to_numpy()
         split = rows["i"].to_numpy() != rows["j"].to_numpy()
-        sketch = rows["sketch"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        sketch = rows["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(len(node), -1)
         x, shift = np.arange(len(node)), 1
         while len(x := x[x + shift < last[x]]):
             y = x + shift
@@ -190,12 +195,17 @@ def _across(groups: DataFrame, num: int, den: int) -> DataFrame:
 
 def _possible(pairs: DataFrame, about: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs that sizes and wide sketches do not rule out."""
-    left = about.toDF("a", "n_a", "s_a")
-    right = about.toDF("b", "n_b", "s_b")
-    gap = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + x)
-    both = pairs.join(left, "a").join(right, "b")
-    sizes = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
-    return both.where(sizes & (gap * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num))).select("a", "b")
+    left, right = (about.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"s_{x}")) for x in ("a", "b"))
+    near = F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num
+
+    def folded(sketch: str, other: str):
+        half = (F.size(sketch) / 2).cast("int")
+        fold = F.zip_with(F.slice(sketch, F.lit(1), half), F.slice(sketch, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(sketch) == 2 * F.size(other), fold).otherwise(F.col(sketch))
+
+    gap = F.aggregate(F.zip_with(folded("s_a", "s_b"), folded("s_b", "s_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + F.coalesce(x, F.lit(0)))
+    both = pairs.join(left, "a").join(right, "b").where(near)
+    return both.where(gap * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -225,7 +235,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     keys = held.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
     shared = stored(_shared_keys(keys), "parity-shared")
 
-    about = named.where("sketch is not null").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch").dropDuplicates(["node"])
+    about = named.where("sketch is not null").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch", "wide").dropDuplicates(["node"])
     hubs = shared.groupBy("key").agg(F.min("node").alias("a"))
     star = shared.join(hubs, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     star = stored(_possible(star, about, num, den), "parity-star")
@@ -235,7 +245,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     placed = shared.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("c")).where("lo <> hi and c > 2")  # a pair has been compared
     tiles = F.ceil(F.col("c") / TILE).cast("long")
-    open_rows = placed.join(mixed.select("key", tiles.alias("tiles")), "key").join(about, "node")
+    open_rows = placed.join(mixed.select("key", tiles.alias("tiles")), "key").join(about.drop("wide"), "node")
     own = F.pmod(F.xxhash64("node"), F.col("tiles"))
     open_rows = open_rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("tiles") - 1)))
     groups = open_rows.select(
@@ -248,7 +258,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         "n",
         "sketch",
     )
-    rest = stored(_across(groups, num, den).join(star, ["a", "b"], "left_anti"), "parity-rest")
+    rest = stored(_possible(_across(groups, num, den).join(star, ["a", "b"], "left_anti"), about, num, den), "parity-rest")
     if not rest.isEmpty():
         more = _verified(rest, texts, k, num, den)
         found = stored(components(links.unionByName(more), "parity"), "parity-components")
