@@ -29,7 +29,8 @@ BUCKETS = 1 << 18
 DIMENSIONS = 8
 #: Labelled documents of each class that training takes at most; chosen by the hash of their id.
 SAMPLE = 3_000
-EPOCHS = 4
+#: Passes over the sample: so many, or as many as give ``LEAST_STEPS`` updates.
+EPOCHS, LEAST_STEPS = 4, 4_000
 BLANKS = 30
 RATE = 0.5
 _SHIFT = np.uint64(64 - 18)
@@ -87,8 +88,9 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> tuple[np.ndarra
             data = np.frombuffer(text.encode(), np.uint8)
             bucket, count = np.unique(features(data, np.array([0, len(data)]))[0], return_counts=True)
             docs.append((bucket, count / (BLANKS + count.sum())))
-    steps, done = EPOCHS * len(docs), 0
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-LEAST_STEPS // len(docs)))
+    steps, done = epochs * len(docs), 0
+    for _ in range(epochs):
         for i in rng.permutation(len(docs)):
             bucket, share = docs[i]
             rate = RATE * (1 - done / steps)

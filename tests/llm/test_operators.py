@@ -1,0 +1,329 @@
+"""Operators for training data against brute force: groups of copies, ties, nulls, empty tables, clashing columns."""
+
+import array
+import collections
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from codevigil.llm import bpe, chat, contain, hnsw, parity_join, pii, quality, repeats, token_file, urls
+from codevigil.llm.queries import ORACLE, QUERIES, prepared, public_tokenizer
+from tests.oracle import compare, duck
+
+SF = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string"
+
+
+@pytest.fixture(autouse=True)
+def shared(spark):
+    prepared(spark)
+
+
+def texts(seed, count=90):
+    """Random prose with copies, near copies, shared passages, and the odd cases."""
+    rng = random.Random(seed)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(600)]
+    say = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    base = [say(rng.randint(3, 120)) for _ in range(12)]
+    out = []
+    for _ in range(count):
+        kind, words_of = rng.random(), rng.choice(base).split(" ")
+        if kind < 0.3:
+            out.append(" ".join(words_of))
+        elif kind < 0.6:
+            for _ in range(rng.randint(1, 4)):
+                words_of[rng.randrange(len(words_of))] = rng.choice(words)
+            out.append(" ".join(words_of))
+        elif kind < 0.8:
+            out.append(f"{say(15)} {' '.join(words_of[len(words_of) // 2 :])} {say(15)}")
+        else:
+            out.append(say(rng.randint(0, 60)))
+    return out + [None, "", "   \t\n", "one", "ONE", "one two three", "é" * 150, "x" * 400, "ab" * 200, say(6000)]
+
+
+@pytest.mark.parametrize("name", sorted(ORACLE))
+def test_equals_sql(spark, name):
+    con = duck(SF)
+    assert compare(spark, con, name, QUERIES[name], ORACLE[name], SF) == ""
+
+
+@pytest.mark.parametrize("block", [1 << 20, 64])
+def test_token_file(spark, monkeypatch, block):
+    monkeypatch.setattr(token_file, "BLOCK", block)
+    from tokenizers import Tokenizer
+
+    path = public_tokenizer("byte_bpe_50k.json")
+    plain = Tokenizer.from_file(path)
+    said = [t or "" for t in texts(1)] + ["a  b\n\n c\t'd", "<|endoftext|> x", "日本 ё"]
+    rows = [(3 * i, t, "x") for i, t in enumerate(said)]
+    folder = token_file.new_folder(spark)
+    token_file.write_token_file(spark.createDataFrame(rows, DOC + ", start string").repartition(3), folder, path, 2)
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in token_file.token_digests(spark, folder).collect()}
+    at = 0
+    for i, text, _ in rows:
+        ids = [*plain.encode(text, add_special_tokens=False).ids, 2]
+        assert got[i] == (at, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        at += len(ids)
+
+
+def test_token_file_odd_rows(spark):
+    path = public_tokenizer("byte_bpe_50k.json")
+    for rows, size in (([], 0), ([(None, "a b"), (7, None), (7, "c"), (7, "c")], 4)):
+        folder = token_file.new_folder(spark)
+        token_file.write_token_file(spark.createDataFrame(rows, DOC), folder, path, 2)
+        assert token_file.token_digests(spark, folder).count() == size
+
+
+@pytest.mark.parametrize("symbols,limit", [(1, 18), (2, 18), (5, 3), (300, 9), (40000, 18)])
+def test_code_lengths(symbols, limit):
+    rng = np.random.default_rng(symbols)
+    lengths = token_file.code_lengths((rng.pareto(1, symbols) * 10 + 1).astype(np.int64), limit)
+    assert lengths.max() <= limit and (symbols == 1 or sum(2.0 ** -lengths.astype(float)) == pytest.approx(1))
+    ids = rng.integers(0, symbols, 3000)
+    code = token_file.Code(lengths)
+    data, _, bits = code.encode(ids, np.array([0, 3000]))
+    assert (code.decode(data, bits[::100], 100).reshape(-1) == ids).all()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe(spark, name):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizer(name)
+    plain = Tokenizer.from_file(path)
+    rng = random.Random(5)
+    parts = ["a", "th", "er", "in", " ", "  ", "\n", "'s", "'", "é", "É", "1", "23", "<|endoftext|>", "!", "ß", "日本", "İ", "ﬁ", "𝒳", " THE", "aaa"]
+    said = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(1500)] + [t or "" for t in texts(2)] + ["a" * 30000]
+    df = spark.createDataFrame([*enumerate(said), (None, None)], DOC).withColumn("ids", F.lit(1))
+    for r in bpe.bpe_texts(df, path).collect():
+        ids = plain.encode(said[r.doc_id] if r.doc_id is not None else "", add_special_tokens=False).ids
+        assert list(array.array("I", bytes(r.ids))) == ids and r.n_tokens == len(ids)
+        assert r.decoded == plain.decode(ids, skip_special_tokens=False)
+    assert bpe.bpe_digests(spark.createDataFrame([], DOC), path).count() == 0
+
+
+def grouped(nodes, links):
+    top = {n: n for n in nodes}
+
+    def root(n):
+        while top[n] != n:
+            n = top[n]
+        return n
+
+    for a, b in links:
+        a, b = sorted((root(a), root(b)))
+        top[b] = a
+    return {n: root(n) for n in nodes}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_hnsw(spark, monkeypatch, seed):
+    monkeypatch.setattr(hnsw, "TILE", 16)
+    monkeypatch.setattr(hnsw, "BLOCK_ROWS", 64)
+    rng = np.random.default_rng(seed)
+    rows = [rng.standard_normal(16) for _ in range(150)]
+    centre = rng.standard_normal(16)
+    rows += [centre + s * rng.standard_normal(16) for s in (0.0, 0.02, 0.2, 0.35) for _ in range(60)]
+    rows += [rows[3] * 2, rows[3], np.zeros(16), np.full(16, np.nan), rows[4] * 1e-300]
+    data = [(i, [float(x) for x in v], i % 3) for i, v in enumerate(rows)] + [(900, None, 0), (901, [], 0), (902, [1.0, None], 0), (903, [1.0, 2.0], 0), (904, [2.0, 4.0], 0)]
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in hnsw.linked_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>, component long").repartition(4)).collect()}
+    good = {i: np.array(v) / np.abs(v).max() for i, v, _ in data if v and None not in v and np.isfinite(v).all() and np.any(v)}
+    unit = {i: v / np.linalg.norm(v) for i, v in good.items()}
+    links = [(a, b) for a, b in itertools.combinations(unit, 2) if len(unit[a]) == len(unit[b]) and unit[a] @ unit[b] >= 0.9]
+    count = collections.Counter(x for pair in links for x in pair)
+    top = grouped([i for i, _, _ in data], links)
+    assert got == {i: (count[i], top[i], top[i] == i) for i in top}
+    assert hnsw.linked_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def shingles(text, k):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
+
+
+@pytest.mark.parametrize("seed,k,num", [(1, 4, 85), (2, 5, 80), (3, 2, 60)])
+def test_jaccard(spark, monkeypatch, seed, k, num):
+    monkeypatch.setattr(parity_join, "TILE", 3)
+    said = texts(seed, 160)
+    order = random.Random(seed).sample(range(len(said)), len(said))
+    df = spark.createDataFrame([(i, said[i], 0) for i in order] + [(None, said[0], 1)], DOC + ", node int").repartition(5)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.jaccard_components(df, k, num, 100).collect()}
+    sets = {i: shingles(t, k) for i, t in enumerate(said)}
+    links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
+    top = grouped(list(sets), links)
+    assert got.pop(None) == (len(sets[0]), None)
+    assert got == {i: (len(s), top[i]) for i, s in sets.items()}
+    kept = {r.doc_id for r in parity_join.one_per_component(df, k, num, 100).collect()}
+    assert kept - {None} == set(top.values())
+    assert parity_join.jaccard_components(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_contained(spark, monkeypatch):
+    monkeypatch.setattr(contain, "BLOCK_BYTES", 300)
+    said = texts(4)
+    items = [(i, " ".join((t or "").split()[:40])) for i, t in enumerate(said[:40])] + [(50, None), (51, ""), (52, "one"), (0, " ".join(said[0].split()[:40]))]
+    long_text = " ".join(t or "" for t in said[:30])
+    docs = [*enumerate(said), (500, long_text), (None, said[0])]
+    frame = spark.createDataFrame([(i, t) for i, t in items], "item_id long, text string").withColumn("doc_id", F.lit(1))
+    got = {(r.doc_id, r.item_id): (r.n_shared, r.n_item) for r in contain.contained_items(spark.createDataFrame(docs, DOC), frame).collect()}
+    want = {}
+    for d, t in docs:
+        for i, q in items:
+            s, own = shingles(q, 5), shingles(t, 5)
+            if s and 100 * len(s & own) >= 80 * len(s):
+                want[d, i] = (len(s & own), len(s))
+    assert got == want and len({d for d, _ in want}) > 20
+    kept = {r.doc_id for r in contain.without_leaks(spark.createDataFrame(docs, DOC), frame).collect()}
+    assert kept == {d for d, _ in docs} - {d for d, _ in want if d is not None}
+    assert contain.contained_items(spark.createDataFrame(docs, DOC), frame.limit(0)).count() == 0
+
+
+def test_chat(spark, monkeypatch):
+    monkeypatch.setattr(chat, "CHUNK", 2)
+    monkeypatch.setattr(chat, "PART", 3)
+    rng = random.Random(6)
+    full = [[(t, rng.choice(["user", None]), rng.choice(["x", "y", None, ""])) for t in range(rng.randint(1, 7))] for _ in range(12)]
+    rows = []
+    for conv, turns in enumerate(full * 4):
+        cut = turns[: rng.randint(1, len(turns))]
+        rows += [(conv, *t) for t in cut] + [(conv, *cut[0])] * rng.randint(0, 1)
+    rows += [(None, 0, "user", "lost"), (99, None, "user", "no turn"), (99, 1, "a", "tie"), (99, 1, "b", "tie")]
+    got = {(r.conv_id, r.part): (r.n_turns, r.rendered) for r in chat.formatted_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("h1", F.lit(0)).repartition(3)).collect()}
+    key = lambda t: tuple((x is not None, x if x is not None else 0) for x in t)
+    convs = {c: tuple(sorted({r[1:] for r in rows if r[0] == c}, key=key)) for c in {r[0] for r in rows}}
+    kept = [c for c, t in convs.items() if not any(o != c and (u[: len(t)] == t) and (len(u) > len(t) or (o is None) or (c is not None and o < c)) for o, u in convs.items())]
+    want = {}
+    for c in kept:
+        for part in range(0, len(convs[c]), 3):
+            want[c, part // 3] = (len(convs[c]), "".join(f"<|im_start|>{r or ''}\n{t or ''}<|im_end|>\n" for _, r, t in convs[c][part : part + 3]))
+    assert got == want
+    assert chat.formatted_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+@pytest.mark.parametrize("seed,length", [(1, 40), (2, 200), (3, 24)])
+def test_repeats(spark, seed, length):
+    said = texts(seed, 120)
+    rows = [*enumerate(said), (5, "again " + said[7]), (5, said[5]), (None, said[8])]
+    seen = collections.Counter()
+    for _, t in rows:
+        b = (t or "").encode()
+        seen.update(b[i : i + length] for i in range(len(b) - length + 1))
+    want = []
+    for i, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for at in range(len(b) - length + 1):
+            if seen[b[at : at + length]] > 1:
+                gone[at : at + length] = b"\1" * length
+        kept = bytes(x for x, y in zip(b, gone) if not y)
+        want.append((i, len(b), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    df = spark.createDataFrame(rows, DOC).withColumn("start", F.lit(1)).repartition(5)
+    got = [tuple(r)[:5] for r in repeats.without_repeats(df, length).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+    assert repeats.without_repeats(spark.createDataFrame([], DOC)).count() == 0
+
+
+def test_urls(spark):
+    odd = [(1, None), (2, "no scheme"), (3, "http://A.Example.COM/en/x?y#z"), (4, "x://www.example.com/en/"), (5, "ftp://n.net/fr/"), (6, "ftp://n.net"), (7, "a://b?c://d/e"), (1, "http://com/"), (None, "http://bad.org/"), (8, "http://notcom/")]
+    bad = [(100 + i, f"http://bad.org/{i}") for i in range(40)] + [(200 + i, f"http://h{i % 4}.good.info/") for i in range(60)]
+    labels = [(100 + i, 0, None) for i in range(40)] + [(200 + i, 1, 0) for i in range(60)] + [(3, None, 0), (4, 1, 1), (4, 1, 0), (None, 1, 0)]
+    df = spark.createDataFrame(odd + bad, "page_id long, url string").withColumn("n", F.lit(1))
+    got = [tuple(r)[:5] for r in urls.judged_pages(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()]
+    want = {(3, "a.example.com", "/en/x", "example.com/en/", "block"), (4, "www.example.com", "/en/", "www.example.com/en/", "allow"), (5, "n.net", "/fr/", "net/fr/", "block"), (6, "n.net", "", None, "allow"), (7, "b", "", None, "allow"), (1, "com", "/", "com/", "allow")}
+    assert want <= set(got) and len(got) == 110
+    assert all(r[4] == "block" for r in got if r[1] == "bad.org") and {r[1] for r in got if r[0] == 2} == {""}
+    assert urls.judged_pages(df.limit(0), spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 0
+    assert urls.judged_pages(df, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 110
+
+
+def test_quality(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = quality.quality_scores(docs, labels).join(labels, "doc_id").toPandas()
+    held = rows[rows.held_out]
+    assert len(rows) == 399 and (rows.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5 == 0) == rows.held_out).all()
+    assert (held.predicted == held.quality).mean() > 0.95 and (rows.predicted == (rows.score >= 0.3)).all()
+    scores, bias = quality.trained(docs, labels)
+    for r in docs.where("doc_id < 20").collect():  # scoring one text by itself
+        data = np.frombuffer(r.text.encode(), np.uint8)
+        with np.errstate(over="ignore"):
+            bucket = quality.features(data, np.array([0, len(data)]))[0]
+        want = 1 / (1 + np.exp(-bias - scores[bucket].sum() / (quality.BLANKS + len(bucket))))
+        assert quality.quality_scores(docs.where(F.col("doc_id") == r.doc_id), labels.limit(0)).first().score == 0.5
+        if r.doc_id in set(rows.doc_id):
+            assert rows[rows.doc_id == r.doc_id].score.iloc[0] == pytest.approx(want)
+    odd = spark.createDataFrame([(1, None), (1, ""), (None, "a"), (2, " \n")], DOC).withColumn("quality", F.lit(1))
+    none = spark.createDataFrame([(1, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    assert [r.score for r in quality.quality_scores(odd, none).collect()] == [0.5] * 4
+
+
+def plain_base(text):
+    """The base kinds by their patterns alone."""
+    out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
+    for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", text):
+        if all(int(p) <= 255 for p in m.group().split(".")):
+            out.append((m.start(), 1, m.end()))
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", text):
+        d = re.sub("[^0-9]", "", m.group())
+        if 14 <= len(d) <= 19 and sum(sum(divmod(int(c) * (1 + i % 2), 10)) for i, c in enumerate(reversed(d))) % 10 == 0:
+            out.append((m.start(), 2, m.end()))
+    for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", text):
+        if 10 <= len(re.sub("[^0-9]", "", m.group())) <= 15:
+            out.append((m.start(), 3, m.end()))
+    return sorted(out)
+
+
+def test_personal_data(spark):
+    rng = random.Random(8)
+    parts = ["a", "b.c", "@", "@x.org", "é", "1", "12", "255", "256", ".", "-", " ", "+", "(", "4111 1111 1111 1111", "+49 30 1234567", "10.0.0.1", "://", "u:p@h", "٣", "\n", "_%"]
+    said = ["".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(4000)]
+    said += ["@" * 2000, "1." * 3000, "9" * 20000, "a" * 20000 + "@", "+1" * 3000, "1 " * 3000]
+    for text in said:
+        assert [s for s in pii.spans_of(text) if s[1] < 4] == plain_base(text), text
+    text = "IBAN: GB82 WEST 1234 5698 7654 32, SSN 123-45-6789, account no: 12345678, ftp://bob:pw@host.example/x"
+    assert [pii.KINDS[k] for _, k, _ in pii.spans_of(text) if k >= 4] == ["iban", "ssn", "account", "login"]
+    rows = [(1, "a@b.co, ü 10.0.0.1", 18), (None, None, None), (1, "", 0)]
+    df = spark.createDataFrame(rows, DOC + ", n_chars long").withColumn("spans", F.lit("x"))
+    got = pii.find_personal_data(df).collect()
+    assert [(r.n_email, r.n_ip, r.spans) for r in got] == [(1, 1, "email:0:6,ip:10:18"), (0, 0, ""), (0, 0, "")]
+    masked = pii.redacted(df).collect()
+    assert [(r.text, r.n_chars, r.spans) for r in masked] == [("<EMAIL>, ü <IP>", 15, "x"), (None, None, "x"), ("", 0, "x")]
+
+
+def test_pipeline(spark):
+    """Every stage against a plain version of its decision on its own input."""
+    import corpus_pipeline
+    from tokenizers import Tokenizer
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = [shingles(r.text, 5) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    seen = [docs]
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r.doc_id: r.asDict() for r in seen[-1].collect()}
+        out = stage(spark, seen[-1], SF)
+        seen.append(out)
+        after = {r.doc_id: r.asDict() for r in out.collect()}
+        if name != "bpe":
+            assert out.columns == docs.columns
+        if name == "quality_classifier":
+            bad = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").where("quality = 0").collect()}
+            assert len(bad & set(after)) <= 3 and len(after) >= 0.8 * len(before)
+        elif name == "jaccard_join":
+            sets = {i: shingles(r["text"], 5) for i, r in before.items()}
+            links = [(a, b) for a, b in itertools.combinations(sets, 2) if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+            assert set(after) == set(grouped(list(sets), links).values())
+        elif name == "benchmark_decontamination":
+            leaks = {i for i, r in before.items() if any(s and 100 * len(s & shingles(r["text"], 5)) >= 80 * len(s) for s in items)}
+            assert set(after) == set(before) - leaks and leaks
+        elif name == "personal_data":
+            assert set(after) == set(before) and any(after[i]["text"] != before[i]["text"] for i in after)
+            assert not any(plain_base(r["text"]) for r in after.values())
+        else:
+            plain = Tokenizer.from_file(public_tokenizer("word_bpe_49k.json"))
+            assert all(list(array.array("I", bytes(r["ids"]))) == plain.encode(before[i]["text"], add_special_tokens=False).ids for i, r in after.items())
+    assert corpus_pipeline.run(spark, SF).count() == len(after)
