@@ -21,7 +21,7 @@ SPOTS = f"""SELECT path, {r2(f"sum({POINTS}) / 100.0")} AS score,
     UNION ALL SELECT 'total', 'all', count(*) FROM v_find""",
 )
 def finding_summary(t):
-    return E.summarize(t.v_find)
+    return E.summarize(t.v_find, metric_limit=20)
 
 
 @register("hotspot_aggregation", SPOTS)

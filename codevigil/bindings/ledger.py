@@ -188,7 +188,7 @@ def trend_columns(df):
     "WITH w AS (SELECT * FROM v_events ORDER BY ord DESC LIMIT 100) " + _TREND.format(total="count(*)"),
 )
 def review_trend(t):
-    return trend_columns(L.review_trend(t.v_events))
+    return trend_columns(L.review_trend(t.v_events, limit=100))
 
 
 @register("review_trend_all", "WITH w AS (SELECT * FROM v_events) " + _TREND.format(total="count(*)"))

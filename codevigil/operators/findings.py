@@ -45,8 +45,10 @@ def _severity_counts() -> list[Column]:
     return [count_if(F.col("severity") == s).alias(s) for s in ("critical", "warning", "info")]
 
 
-def summarize(findings: DataFrame, metric_limit: int = 20) -> DataFrame:
-    """Counts by severity, dimension and metric (top ``metric_limit``) plus the total, as (facet, key, n).
+def summarize(findings: DataFrame, metric_limit: int | None = None) -> DataFrame:
+    """Counts by severity, dimension and metric plus the total, as (facet, key, n).
+
+    ``metric_limit`` keeps the most frequent metrics only (20 in a displayed summary); scores need all.
 
     One pass: the grouping sets share a single partial aggregate.
     """
@@ -63,6 +65,8 @@ def summarize(findings: DataFrame, metric_limit: int = 20) -> DataFrame:
         facet = F.when(F.col("_" + name) == 0, name).otherwise(facet)
         key = F.when(F.col("_" + name) == 0, F.col(name)).otherwise(key)
     long = counted.select(*scope, facet.alias("facet"), key.alias("key"), "n")
+    if metric_limit is None:
+        return long
     ranked = top_per(
         long.where(F.col("facet") == "metric"), [*scope, "facet"], [F.desc("n"), F.asc("key")], metric_limit
     )

@@ -294,8 +294,11 @@ def last_events(events: DataFrame, limit: int = 100) -> DataFrame:
     return top_per(events, scope_of(events), [F.desc("ord")], limit).drop("rank")
 
 
-def review_trend(events: DataFrame, limit: int = 100) -> DataFrame:
-    """Counts by mode and review type, the latest event, and the scores of the latest full code review."""
+def review_trend(events: DataFrame, limit: int = 0) -> DataFrame:
+    """Counts by mode and review type, the latest event, and the scores of the latest full code review.
+
+    ``limit`` restricts them to the last so many events (100 in a status display); 0 takes all.
+    """
     scope = scope_of(events)
     rows = last_events(events, limit)
     none = F.lit("unknown")

@@ -14,6 +14,9 @@ SETTINGS = {
     # Hot keys: AQE splits the oversized side of a sort-merge join at run time.
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # What a Python worker holds at once: whole files and documents come in batches of bounded size.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "5000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
 }
 
 

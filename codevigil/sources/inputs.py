@@ -144,13 +144,13 @@ def resolve_rules(rows: DataFrame) -> DataFrame:
 def resolve_policy(rows: DataFrame) -> DataFrame:
     """One policy row per scope from (key, value, layer): the highest layer that sets a key wins, else the default."""
     scope = scope_of(rows)
-    top = rows.where(F.col("key").isin(list(fixed.POLICY)) & F.col("value").isNotNull()).groupBy(*scope, "key").agg(
-        F.max_by("value", "layer").alias("value")
-    )
-    wide = top.groupBy(*scope).agg(
-        *[F.coalesce(F.max(F.when(F.col("key") == k, F.col("value"))), F.lit(v)).alias(k) for k, v in fixed.POLICY.items()]
-    )
-    return wide
+    value = F.col("value")
+
+    def chosen(key: str):
+        # max_by skips rows whose order is null: only layers that set this key count.
+        return F.max_by(value, F.when((F.col("key") == key) & value.isNotNull(), F.col("layer")))
+
+    return rows.groupBy(*scope).agg(*[F.coalesce(chosen(k), F.lit(v)).alias(k) for k, v in fixed.POLICY.items()])
 
 
 # --- risk facts ----------------------------------------------------------------------------
