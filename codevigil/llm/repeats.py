@@ -13,7 +13,7 @@ one by one, and the sorted names, the corpus order cut at ``length`` bytes, show
 Suffix order is only needed up to ``length`` bytes, so equal names take the place of ranks among
 the suffixes of dictionary and parse; no array over a whole corpus is built.
 
-Names have 128 bits. Nothing is capped: a phrase with a third of all occurrences is counted within
+Names of windows have 95 bits, those of bundles 128 with their phrase's. Nothing is capped: a phrase with a third of all occurrences is counted within
 each batch first, and later passes hold one row back, not a group.
 
 Defined results: a null text is empty; texts shorter than ``length`` lose nothing; rows are known by a
@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_table, mix, on_batches, powers, prefix_sums, signed, span_hash, stored, text_slices
+from .common import byte_table, discard, mix, on_batches, powers, prefix_sums, signed, span_hash, stored, text_slices
 
 #: One byte in so many is a trigger.
 EVERY = 32
@@ -92,10 +92,11 @@ class _Bundles:
 
 
 def _window_rows(data, bounds, ids, starts, open_, length):
-    """Names of the windows at ``starts``; ``open_`` marks those whose fate is not settled."""
+    """Names (95 bits) of the windows at ``starts``; those that are not ``open_`` need no place."""
     text = np.searchsorted(bounds, starts, side="right") - 1
-    names = [signed(span_hash(prefix_sums(table[data]), starts, starts + length)) for table in (_FIRST, _SECOND)]
-    return [pa.array(names[0]), pa.array(names[1]), ids.take(pa.array(text)), pa.array(starts - bounds[text]), pa.array(open_)]
+    first, second = (span_hash(prefix_sums(table[data]), starts, starts + length) for table in (_FIRST, _SECOND))
+    doc = ids.take(pa.array(text, mask=~open_))
+    return [pa.array(signed(first)), pa.array((second >> np.uint64(33)).astype(np.int32)), doc, pa.array(starts - bounds[text], pa.int32(), mask=~open_)]
 
 
 _OCCURRENCE = "phrase long, bundle long, doc long, start long, size long, many boolean"
@@ -231,9 +232,9 @@ def _named_windows(texts: DataFrame, marks: DataFrame, length: int) -> DataFrame
                 use = free[starts] if len(starts) else np.zeros(0, bool)
                 starts, open_ = starts[use], open_[use]
                 if len(starts):
-                    yield pa.RecordBatch.from_arrays(_window_rows(data, bounds, ids.slice(first, end - first), starts, open_, length), names=["n1", "n2", "doc", "start", "open"])
+                    yield pa.RecordBatch.from_arrays(_window_rows(data, bounds, ids.slice(first, end - first), starts, open_, length), names=["n1", "n2", "doc", "start"])
 
-    return on_batches(joined, step, "n1 long, n2 long, doc long, start long, open boolean")
+    return on_batches(joined, step, "n1 long, n2 int, doc long, start int")
 
 
 def _equal_windows(windows: DataFrame) -> DataFrame:
@@ -255,14 +256,14 @@ def _equal_windows(windows: DataFrame) -> DataFrame:
             hit[:-1] |= same
             hit[0] |= more
             wait = hit.copy()
-            hit &= table["open"].to_numpy()
+            hit &= table["doc"].is_valid().to_numpy()
             hit[-1] = False
             yield from table.select(["doc", "start"]).filter(pa.array(hit)).combine_chunks().to_batches()
             held = (table.slice(len(n1) - 1).combine_chunks(), bool(wait[-1]))
-        if held is not None and held[1] and held[0]["open"][0].as_py():
+        if held is not None and held[1] and held[0]["doc"][0].is_valid:
             yield from held[0].select(["doc", "start"]).combine_chunks().to_batches()
 
-    return windows.repartition("n1").sortWithinPartitions("n1", "n2").mapInArrow(run, "doc long, start long")
+    return windows.repartition("n1").sortWithinPartitions("n1", "n2").mapInArrow(run, "doc long, start int")
 
 
 def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -277,9 +278,10 @@ def without_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     found = stored(_occurrences(texts, length), "repeats-parse")
     settled = found.where("phrase is null").select("doc", "start", "size", F.lit(True).alias("settled"), F.lit(False).alias("name"))
     marks = stored(_parse_order(found).unionByName(settled), "repeats-marks")
+    discard(found)
     windows = _named_windows(texts, marks, length)
     single = stored(_equal_windows(windows), "repeats-windows")
-    ranges = marks.where("settled and size > 0").select("doc", "start", "size").unionByName(single.select("doc", "start", F.lit(1).cast("long").alias("size")))
+    ranges = marks.where("settled and size > 0").select("doc", "start", "size").unionByName(single.select("doc", F.col("start").cast("long"), F.lit(1).cast("long").alias("size")))
     spans = ranges.groupBy("doc").agg(F.collect_list(F.struct("start", "size")).alias("spans"))  # at most one for each byte of the text
     joined = named.join(spans, F.col("key") == F.col("doc"), "left").select("doc_id", "text", "spans")
 
