@@ -1,8 +1,8 @@
 """Joins on patterns and substrings, as equi-joins on a key both sides must share, then an exact check.
 
 A path pattern is keyed by something every matching path holds: its literal
-directory, one of its literal segments, or its file suffix. A needle is keyed by one of
-its four-letter pieces. No side is ever paired with all rows of the other.
+directory, one of its literal segments, or its file suffix. A needle is keyed by the
+rarest of its four-letter pieces. No side is ever paired with all rows of the other.
 """
 
 from __future__ import annotations
@@ -105,18 +105,36 @@ def pieces(text: Column, size: int) -> Column:
 PIECE = 4
 
 
+def hay_pieces(hay: DataFrame, hay_col: str, keys: Sequence[str]) -> DataFrame:
+    """Narrow rows (keys, _hay, _key): the distinct runs of one to four characters of each text, which its hash names."""
+    runs = F.concat(*[pieces(F.col(hay_col), n) for n in range(1, PIECE + 1)])
+    return hay.select(*keys, F.xxhash64(hay_col).alias("_hay"), F.explode(runs).alias("_key"))
+
+
+def rarest_pieces(held: DataFrame, needles: DataFrame, needle_col: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, needle, _key): of each distinct needle's pieces the one that fewest texts hold; a short needle is its own."""
+    once = needles.select(*keys, needle_col).where(F.length(needle_col) > 0).distinct()
+    own = F.when(F.length(needle_col) < PIECE, F.array(needle_col)).otherwise(pieces(F.col(needle_col), PIECE))
+    offered = once.select(*keys, needle_col, F.explode(own).alias("_key"))
+    counted = held.join(offered.select(*keys, "_key").distinct(), [*keys, "_key"], "left_semi")
+    counted = counted.groupBy(*keys, "_key").agg(F.count(F.lit(1)).alias("_n"))
+    rarity = F.struct(F.coalesce("_n", F.lit(0)), F.col("_key"))
+    return offered.join(counted, [*keys, "_key"], "left").groupBy(*keys, needle_col).agg(F.min_by("_key", rarity).alias("_key"))
+
+
 def substring_pairs(
     hay: DataFrame, hay_col: str, needles: DataFrame, needle_col: str, keys: Sequence[str] = ()
 ) -> DataFrame:
     """(hay row, needle row) pairs where the needle occurs in the hay text; equal on ``keys``.
 
-    The needle's last piece (shorter needles are their own piece) must be a piece of
-    the text. Which piece lengths occur is read first: at most four numbers.
+    A needle meets the texts that hold its rarest piece. Only hashes of texts travel with
+    the pieces; each text is fetched once for the exact check, so equal hashes cannot make
+    or lose a pair. Null and empty needles and null texts give no pairs; repeated rows on
+    either side each give theirs.
     """
-    length = F.least(F.length(needle_col), F.lit(PIECE))
-    found = needles.where(F.length(needle_col) > 0).agg(F.collect_set(length)).first()[0]
-    sizes = sorted(found) or [PIECE]
-    right = needles.withColumn("_key", F.substring(F.col(needle_col), -PIECE, PIECE)).where(F.length(needle_col) > 0)
-    wanted = F.concat(*[pieces(F.col(hay_col), n) for n in sizes])
-    left = hay.withColumn("_key", F.explode(wanted))
-    return left.join(right, [*keys, "_key"]).where(F.contains(F.col(hay_col), F.col(needle_col))).drop("_key")
+    held = hay_pieces(hay, hay_col, keys)
+    best = rarest_pieces(held, needles, needle_col, keys)
+    likely = held.join(best, [*keys, "_key"]).select(*keys, "_hay", needle_col).distinct()
+    texts = hay.withColumn("_hay", F.xxhash64(hay_col)).join(likely, [*keys, "_hay"])
+    found = texts.where(F.contains(F.col(hay_col), F.col(needle_col))).drop("_hay")
+    return found.join(needles, [*keys, needle_col])

@@ -157,3 +157,22 @@ def test_substring_pairs(spark):
     need = spark.createDataFrame([(n,) for n in needles], "needle string")
     got = {(r.id, r.needle) for r in M.substring_pairs(hay, "text", need, "needle").collect()}
     assert got == {(i, n) for i, x in enumerate(texts) for n in needles if n in x}
+
+
+def test_substring_pairs_repeats_nulls_and_scopes(spark):
+    texts = [("r1", 1, "read src/app.txt"), ("r1", 1, "read src/app.txt"), ("r2", 2, "read src/app.txt"), ("r1", 3, None), ("r1", 4, "")]
+    hay = spark.createDataFrame(texts, "repo string, id long, text string")
+    need = spark.createDataFrame([("r1", "app.txt", 1), ("r1", "app.txt", 2), ("r1", "", 3), ("r1", None, 4), ("r2", "p", 5)], "repo string, needle string, n int")
+    got = sorted((r.repo, r.id, r.needle, r.n) for r in M.substring_pairs(hay, "text", need, "needle", keys=["repo"]).collect())
+    assert got == sorted([("r1", 1, "app.txt", 1), ("r1", 1, "app.txt", 2)] * 2 + [("r2", 2, "p", 5)])
+    assert M.substring_pairs(hay.limit(0), "text", need, "needle", keys=["repo"]).count() == 0
+    assert M.substring_pairs(hay, "text", need.limit(0), "needle", keys=["repo"]).count() == 0
+
+
+def test_path_needles_spread_over_keys(spark):
+    paths = [(f"src/part{i:03d}/report.txt",) for i in range(200)]
+    hay = spark.createDataFrame([(i, f"see {p}") for i, (p,) in enumerate(paths)], "id long, text string")
+    need = spark.createDataFrame(paths, "needle string")
+    best = M.rarest_pieces(M.hay_pieces(hay, "text", []), need, "needle", [])
+    assert best.groupBy("_key").count().agg(F.max("count")).first()[0] <= 20
+    assert M.substring_pairs(hay, "text", need, "needle").count() == 200
