@@ -94,14 +94,14 @@ _GOALS = f"""fi AS (SELECT path, concat('pkg:', lower(replace(p_brand, '#', ''))
     ds AS (SELECT component, CASE WHEN sum(p_size) % 3 = 0 THEN 'interface_adapter' ELSE 'application_domain' END AS layer_role, min(p_name) AS lo, max(p_name) AS hi, count(*) % 10 / 10.0 AS conf FROM fi GROUP BY component),
     dm AS (SELECT goal_id, component, conf, count(*) AS m FROM tw JOIN ds ON contains(lower(concat_ws(chr(10), component, layer_role, 'holds ' || lo, hi)), token) GROUP BY ALL),
     db AS (SELECT goal_id, component, least(8, 2 + m + CAST(round_even(CAST(conf AS DOUBLE) * 2, 0) AS INT)) AS p FROM dm WHERE m >= 2 OR conf >= 0.7),
-    ff AS (SELECT component, path, row_number() OVER (PARTITION BY component ORDER BY path) AS i FROM fi),
-    dh AS (SELECT goal_id, path, p, 'descriptor:' || component AS e FROM db JOIN ff USING (component) WHERE i <= 12),
+    ff AS (SELECT component, path FROM fi),
+    dh AS (SELECT goal_id, path, p, 'descriptor:' || component AS e FROM db JOIN ff USING (component)),
     ea AS (SELECT goal_id, path, sum(p) AS p, list(DISTINCT e) AS es FROM (SELECT * FROM ph UNION ALL SELECT * FROM sh UNION ALL SELECT * FROM dh) GROUP BY ALL),
     pn AS (SELECT goal_id, path, CASE WHEN goal_id % 2 = 1 AND layer_role = 'interface_adapter' THEN greatest(0, p - 9) ELSE p END AS p,
       CASE WHEN goal_id % 2 = 1 AND layer_role = 'interface_adapter' THEN list_append(es, 'infra_penalty') ELSE es END AS es FROM ea JOIN fi USING (path) JOIN ds USING (component)),
     cm AS (SELECT goal_id, component, CASE WHEN contains(lower(text), 'pkg') AND contains(lower(text), split_part(component, ':', 2)) THEN 4
         WHEN contains(lower(text), 'pkg') OR contains(lower(text), split_part(component, ':', 2)) THEN 2 END AS p FROM go, ds),
-    ch AS (SELECT goal_id, path, p, ['component:' || component] AS es FROM cm JOIN ff USING (component) WHERE i <= 12 AND p IS NOT NULL),
+    ch AS (SELECT goal_id, path, p, ['component:' || component] AS es FROM cm JOIN ff USING (component) WHERE p IS NOT NULL),
     la AS (SELECT goal_id, path, sum(p) AS p, flatten(list(es)) AS es FROM (SELECT * FROM pn UNION ALL SELECT * FROM ch) GROUP BY ALL),
     sc AS (SELECT goal_id, path, component, CAST(p + CASE WHEN p_size > 40 THEN least(6, p_size // 3) ELSE 0 END AS BIGINT) AS score,
       list_sort(list_distinct(CASE WHEN p_size > 40 THEN list_append(es, 'hotspot') ELSE es END)) AS es FROM la JOIN fi USING (path))"""
@@ -190,7 +190,7 @@ def batch_focus_files(t):
 @register(
     "match_tests",
     """WITH te AS (SELECT concat('tests/test_', replace(p_name, ' ', '_'), '_', p_partkey, '.py') AS path FROM part),
-    hl AS (SELECT p_type AS "group", p_size AS ord, list_slice(list_sort(list_distinct(flatten(list([split_part(p_name, ' ', 1), concat('_', p_partkey % 97, '.')])))), 1, 12) AS hs FROM part GROUP BY p_type, p_size),
+    hl AS (SELECT p_type AS "group", p_size AS ord, list_distinct(flatten(list([split_part(p_name, ' ', 1), concat('_', p_partkey % 97, '.')]))) AS hs FROM part GROUP BY p_type, p_size),
     hi AS (SELECT "group", ord, unnest(hs) AS hint FROM hl),
     hh AS (SELECT "group", path, min(ord) AS ord FROM hi JOIN te ON contains(lower(path), hint) GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY "group" ORDER BY ord, path) AS rank FROM hh)

@@ -87,9 +87,9 @@ def membership_issues(t):
 
 @register(
     "move_plan",
-    f"""WITH {_GROUPS}, {_PLACED}, fr AS (SELECT repo, g, path, row_number() OVER (PARTITION BY repo, g ORDER BY path) AS i FROM pw),
+    f"""WITH {_GROUPS}, {_PLACED}, fr AS (SELECT repo, g, path FROM pw),
     mp AS (SELECT pd.repo, pd.path, CASE WHEN fr.path IS NOT NULL OR decision = 'move' THEN 'move' ELSE 'review' END AS action, folder FROM pd
-      LEFT JOIN fr ON fr.repo = pd.repo AND fr.path = pd.path AND i <= 12 AND EXISTS (SELECT 1 FROM gb WHERE gb.repo = fr.repo AND gb.group_id = fr.g))
+      LEFT JOIN fr ON fr.repo = pd.repo AND fr.path = pd.path AND EXISTS (SELECT 1 FROM gb WHERE gb.repo = fr.repo AND gb.group_id = fr.g))
     SELECT repo, path, action, CASE WHEN action = 'move' THEN folder ELSE '' END AS folder,
       CASE WHEN action = 'move' THEN concat('src/pkg/', folder, '/', regexp_extract(path, '[^/]+$')) ELSE '' END AS target FROM mp""",
 )

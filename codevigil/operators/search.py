@@ -54,13 +54,15 @@ def score_files(
     weights: DataFrame,
     hotspots: DataFrame,
     hints: DataFrame | None = None,
+    files_per_component: int | None = None,
 ) -> DataFrame:
     """(goal_id, path, component, score, evidence) for every file a goal touches.
 
     ``files``: path, component (architecture scope). ``descriptors``: output of
     ``components.descriptors``. ``hotspots``: top-n table. ``hints``: goal_id,
     component, points. Points form a long table that is summed in two stages, because
-    penalties with a floor come after words and descriptors and before hints.
+    penalties with a floor come after words and descriptors and before hints. Points of a
+    component go to all its files, or to the first ``files_per_component`` by path.
     """
     scope = scope_of(files, goals)
     key = [*scope, "goal_id", "path"]
@@ -82,7 +84,9 @@ def score_files(
         *key, (_points(F.col("weight"), 3) * F.col("times")).cast("int").alias("points"),
         F.concat(F.lit("symbol:"), F.col("token")).alias("evidence"),
     )
-    first_files = top_per(files.select(*scope, "component", "path"), [*scope, "component"], [F.asc("path")], 12).drop("rank")
+    first_files = files.select(*scope, "component", "path")
+    if files_per_component is not None:
+        first_files = top_per(first_files, [*scope, "component"], [F.asc("path")], files_per_component).drop("rank")
     described = descriptors.select(*scope, "component", "confidence", descriptor_search_text().alias("low"))
     matched = substring_pairs(described, "low", distinct, "token", keys=scope).select(*scope, "component", "confidence", "token")
     boost = matched.join(weights, [*scope, "token"]).groupBy(*scope, "goal_id", "component", "confidence").agg(
@@ -226,15 +230,16 @@ def change_batches(targets: DataFrame, evidence: DataFrame, files: DataFrame, ho
     return batches, focus.select(*keys, "path", "rank")
 
 
-def match_tests(tests: DataFrame, batches: DataFrame, hint_limit: int = 12, limit: int = 20, fallback: int = 10) -> DataFrame:
+def match_tests(tests: DataFrame, batches: DataFrame, hint_limit: int | None = None, limit: int = 20, fallback: int = 10) -> DataFrame:
     """Test paths that contain a hint of a batch, ``limit`` per batch group; else the first tests.
 
-    ``batches``: group (one plan), ord, hints (array). Hints are sorted before the first
-    ``hint_limit`` count.
+    ``batches``: group (one plan), ord, hints (array). All hints count, or the first
+    ``hint_limit`` in sorted order.
     """
     scope = scope_of(tests, batches)
     keys = [*scope, "group"]
-    hints = batches.select(*keys, "ord", F.explode(F.slice(F.array_sort(F.array_distinct(F.filter("hints", lambda h: h != ""))), 1, hint_limit)).alias("hint"))
+    own = F.array_sort(F.array_distinct(F.filter("hints", lambda h: h != "")))
+    hints = batches.select(*keys, "ord", F.explode(own if hint_limit is None else F.slice(own, 1, hint_limit)).alias("hint"))
     low = tests.select(*scope, "path", F.lower("path").alias("low")).distinct()
     found = substring_pairs(low, "low", hints.select(*scope, "hint").distinct(), "hint", keys=scope).select(*scope, "path", "hint")
     hits = hints.join(found, [*scope, "hint"]).groupBy(*keys, "path").agg(F.min("ord").alias("ord"))
@@ -252,7 +257,7 @@ def batch_hints(component: Column, focus_files: Column, component_files: Column)
         found = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9_]{3,}"), F.lit(0))
         return F.filter(found, lambda w: ~w.isin("tests", "test", "src", "core", "spec"))
 
-    stems = F.transform(F.slice(component_files, 1, 20), stem_of)
+    stems = F.transform(component_files, stem_of)
     return F.array_distinct(F.concat(stems, words(component), F.flatten(F.transform(focus_files, lambda p: words(stem_of(p))))))
 
 

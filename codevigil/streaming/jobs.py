@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..common import scope_of
+from ..common import scope_of, top_per, with_defaults
 from ..operators.duplicates import near_duplicates
 from ..sources.events import month_key
 from ..sources.extract import incremental_extract
@@ -40,10 +40,32 @@ def _parts_before(spark: SparkSession, directory: str, batch_id: int) -> list[st
 
 
 def stream_ledger(events: DataFrame, directory: str, checkpoint: str, id_col: str | None = None) -> StreamingQuery:
-    """Append review events to a month-partitioned ledger; repeats of ``id_col`` within a day are dropped."""
-    rows = events
+    """Append review events to a month-partitioned ledger.
+
+    With ``id_col`` an event whose id the ledger's month already holds is not written again;
+    of repeats in one batch the first by time stays. Late events are kept however late they
+    are, and so are events without id. Only the months of the batch are read.
+    """
     if id_col:
-        rows = rows.withWatermark("generated_at", "1 day").dropDuplicatesWithinWatermark([id_col])
+        keys = [*scope_of(events), "yyyymm", id_col]
+
+        def step(batch: DataFrame, batch_id: int) -> None:
+            rows = batch.withColumns({"yyyymm": month_key(F.col("generated_at")), "part_id": F.lit(batch_id)})
+            known = batch.sparkSession.read.schema(rows.schema)
+            named = rows.where(F.col(id_col).isNotNull())
+            fresh = top_per(named, keys, [F.asc("generated_at"), F.xxhash64(*events.columns)], 1).drop("rank")
+            if _exists(batch.sparkSession, directory):
+                months = rows.select("yyyymm").distinct()
+                earlier = known.parquet(directory).where(F.col("part_id") < batch_id).join(months, "yyyymm", "left_semi")
+                fresh = fresh.join(earlier.select(*keys), keys, "left_anti")
+            fresh = fresh.select(rows.columns).unionByName(rows.where(F.col(id_col).isNull()))
+            writer = fresh.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            writer.partitionBy("yyyymm", "part_id").parquet(directory)
+
+        return (
+            events.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step).trigger(availableNow=True).start()
+        )
+    rows = events
     return (
         rows.withColumn("yyyymm", month_key(F.col("generated_at")))
         .writeStream.format("parquet")
@@ -107,11 +129,11 @@ def stream_trend(events: DataFrame, directory: str, checkpoint: str) -> Streamin
 # --- registry -----------------------------------------------------------------------
 
 KEEP = 20
-_REGISTRY_OUT = "component string, last_score double, trend string, history string"
+_REGISTRY_OUT = "last_score double, trend string, history string"
 _REGISTRY_STATE = "last_score double, history string"
 
 
-def _registry_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+def _registry_step(names: list[str], key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Next state of one component: points in run order, the last 20 kept, trend of the last step."""
     score, history = state.get if state.exists else (None, "[]")
     # Only the last points of the batch can be kept; the step before them sets the trend.
@@ -125,14 +147,24 @@ def _registry_step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState
     trend = "up" if score > before + 1.0 else "down" if score < before - 1.0 else "flat"
     text = json.dumps(points[-KEEP:])
     state.update((score, text))
-    yield pd.DataFrame({"component": [key[0]], "last_score": [score], "trend": [trend], "history": [text]})
+    place = {name: [value] for name, value in zip(names, key)}
+    yield pd.DataFrame({**place, "last_score": [score], "trend": [trend], "history": [text]})
 
 
 def stream_registry(scores: DataFrame, directory: str, checkpoint: str) -> StreamingQuery:
-    """Last score, trend and last points per component, carried from batch to batch (component, run, score)."""
-    rows = scores.select("component", F.col("run").cast("timestamp").alias("run"), F.col("score").cast("double").alias("score"))
-    state = rows.groupBy("component").applyInPandasWithState(
-        _registry_step, _REGISTRY_OUT, _REGISTRY_STATE, "update", GroupStateTimeout.NoTimeout
+    """Last score, trend and last points per component of a repo and snapshot, carried from batch to batch.
+
+    ``scores``: component, run, score.
+    """
+    keys = [*scope_of(scores), "component"]
+    rows = scores.select(*keys, F.col("run").cast("timestamp").alias("run"), F.col("score").cast("double").alias("score"))
+    place = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return _registry_step(keys, key, frames, state)
+
+    state = rows.groupBy(*keys).applyInPandasWithState(
+        step, f"{place}, {_REGISTRY_OUT}", _REGISTRY_STATE, "update", GroupStateTimeout.NoTimeout
     )
     return (
         state.writeStream.outputMode("update")
@@ -152,18 +184,21 @@ def stream_extract(
     """Extract files (path, text, bytes, mtime) once; a file that comes again is extracted only if it changed.
 
     Parts hold the rows and marks of the files a batch extracted. The current rows of a
-    path are those of its last part (``current_rows``).
+    path are those of its last part (``current_rows``). A path belongs to its repo and
+    snapshot. Of versions with one time in one batch the longer stays, then the one of larger hash.
     """
+    key = [*scope_of(files), "path"]
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         earlier = _parts_before(spark, f"{directory}/manifest", batch_id)
-        last = batch.groupBy("path").agg(F.max_by(F.struct("text", "bytes", "mtime"), "mtime").alias("f")).select("path", "f.*")
+        newest = F.max_by(F.struct("text", "bytes", "mtime"), F.struct("mtime", "bytes", F.xxhash64("text")))
+        last = batch.groupBy(*key).agg(newest.alias("f")).select(*key, "f.*")
         fresh = last
         if earlier:
-            seen = spark.read.parquet(*earlier).groupBy("path").agg(F.max_by(F.struct("bytes", "mtime", "version"), "part_no").alias("m"))
-            seen = seen.select("path", "m.*").where(F.col("version") == version)
-            fresh = last.join(seen, ["path", "bytes", "mtime"], "left_anti")
+            seen = spark.read.parquet(*earlier).groupBy(*key).agg(F.max_by(F.struct("bytes", "mtime", "version"), "part_no").alias("m"))
+            seen = seen.select(*key, "m.*").where(F.col("version") == version)
+            fresh = last.join(seen, [*key, "bytes", "mtime"], "left_anti")
         rows, manifest, _ = incremental_extract(fresh, extract, None, None, version)
         number = F.lit(batch_id).alias("part_no")
         rows.select("*", number).write.mode("overwrite").parquet(f"{directory}/rows/part_id={batch_id}")
@@ -176,43 +211,43 @@ def stream_extract(
 
 def current_rows(spark: SparkSession, directory: str) -> DataFrame:
     """Rows of the last extraction of every path."""
-    manifest = spark.read.parquet(f"{directory}/manifest").groupBy("path").agg(F.max("part_no").alias("part_no"))
-    return spark.read.parquet(f"{directory}/rows").join(manifest, ["path", "part_no"], "left_semi").drop("part_no", "part_id")
+    manifest = spark.read.parquet(f"{directory}/manifest")
+    key = [*scope_of(manifest), "path"]
+    manifest = manifest.groupBy(*key).agg(F.max("part_no").alias("part_no"))
+    return spark.read.parquet(f"{directory}/rows").join(manifest, [*key, "part_no"], "left_semi").drop("part_no", "part_id")
 
 
-FUNCTION_FIELDS = T.StructType(
-    [
-        T.StructField("path", T.StringType()),
-        T.StructField("line", T.IntegerType()),
-        T.StructField("symbol", T.StringType()),
-        T.StructField("fingerprint", T.StringType()),
-        T.StructField("node_count", T.IntegerType()),
-    ]
-)
+FUNCTION_FIELDS = ["path", "line", "symbol", "fingerprint", "node_count", "thin_wrapper_call"]
 
 
 def stream_duplicates(functions: DataFrame, directory: str, checkpoint: str) -> StreamingQuery:
     """Match each batch of functions with the stored index, write its concerns, then add it to the index.
 
-    The batch is the change scope. Only the index rows of the batch's fingerprints take part.
+    The batch is the change scope. Only the index rows of the batch's fingerprints take part,
+    and of a path only the functions of the last batch that brought it.
     """
+    scope = scope_of(functions)
+    shaped = with_defaults(functions, thin_wrapper_call=("string", "")).select(*scope, *FUNCTION_FIELDS)
+    indexed = T.StructType([*shaped.schema.fields, T.StructField("part_no", T.IntegerType())])
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows = batch.select(*FUNCTION_FIELDS.names)
-        index = rows
+        rows, index = batch, batch
         earlier = _parts_before(spark, f"{directory}/index", batch_id)
         if earlier:
-            known = spark.read.schema(FUNCTION_FIELDS).parquet(*earlier)
-            touched = rows.select("fingerprint").distinct()
-            fresh_paths = rows.select("path").distinct()
+            stored = spark.read.schema(indexed).parquet(*earlier)
+            touched = rows.select(*scope, "fingerprint").distinct()
+            fresh_paths = rows.select(*scope, "path").distinct()
             # A path that comes again replaces its earlier functions.
-            known = known.join(touched, "fingerprint", "left_semi").join(fresh_paths, "path", "left_anti")
+            known = stored.join(touched, [*scope, "fingerprint"], "left_semi").join(fresh_paths, [*scope, "path"], "left_anti")
+            last = stored.join(known.select(*scope, "path").distinct(), [*scope, "path"], "left_semi")
+            last = last.groupBy(*scope, "path").agg(F.max("part_no").alias("part_no"))
+            known = known.join(last, [*scope, "path", "part_no"], "left_semi").drop("part_no")
             index = rows.unionByName(known)
-        concerns = near_duplicates(index, rows.select("path").distinct())
+        concerns = near_duplicates(index, rows.select(*scope, "path").distinct())
         concerns.write.mode("overwrite").parquet(f"{directory}/concerns/part_id={batch_id}")
-        rows.write.mode("overwrite").parquet(f"{directory}/index/part_id={batch_id}")
+        rows.withColumn("part_no", F.lit(batch_id).cast("int")).write.mode("overwrite").parquet(f"{directory}/index/part_id={batch_id}")
 
     return (
-        functions.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step).trigger(availableNow=True).start()
+        shaped.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step).trigger(availableNow=True).start()
     )

@@ -1,5 +1,7 @@
 """Python sources: duplicates, families, wrappers, shadows, contracts, findings, incremental runs, streams."""
 
+import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from codevigil.functions import text as X
 from codevigil.operators import contracts as K
 from codevigil.operators import duplicates as D
 from codevigil.operators import similarity as S
+from codevigil.operators import topology as Y
 from codevigil.sources import extract as B
 from codevigil.sources import files as Z
 from codevigil.streaming import jobs as J
@@ -215,3 +218,49 @@ def test_stream_extract_skips_known_files(spark, tmp_path):
     got = {(r.path, r.symbol) for r in J.current_rows(spark, f"{tmp_path}/out").collect()}
     assert got == {("a.py", "renamed"), ("b.py", "b")}
     assert spark.read.parquet(f"{tmp_path}/out/manifest").count() == 3
+
+
+def in_turn(spark, tmp_path, schema, batches, start):
+    for batch in batches:
+        spark.createDataFrame(batch, schema).write.mode("append").parquet(f"{tmp_path}/in")
+        start(spark.readStream.schema(schema).parquet(f"{tmp_path}/in")).awaitTermination()
+
+
+def test_streams_keep_repos_apart(spark, tmp_path):
+    schema = "repo string, component string, run string, score double"
+    scores = [[("a", "x", "2024-01-01", 50.0), ("b", "x", "2024-01-01", 90.0)], [("a", "x", "2024-01-02", 40.0)]]
+    in_turn(spark, tmp_path / "s", schema, scores, lambda s: J.stream_registry(s, f"{tmp_path}/s/out", f"{tmp_path}/s/cp"))
+    got = J.latest_rows(spark, f"{tmp_path}/s/out", ["repo", "component"]).collect()
+    assert {(r.repo, r.last_score, r.trend) for r in got} == {("a", 40.0, "down"), ("b", 90.0, "flat")}
+
+    schema = "repo string, path string, line int, symbol string, fingerprint string, node_count int, thin_wrapper_call string"
+    batches = [
+        [("a", "m.py", 1, "one", "f", 9, ""), ("b", "n.py", 1, "two", "f", 9, ""), ("a", "w.py", 1, "wrap", "w", 9, "left")],
+        [("a", "o.py", 1, "three", "f", 9, ""), ("a", "v.py", 1, "wrap2", "w", 9, "right")],
+        [("a", "m.py", 1, "one", "other", 9, "")],  # m.py comes again without its old function
+        [("a", "p.py", 1, "four", "f", 9, "")],
+    ]
+    in_turn(spark, tmp_path / "d", schema, batches, lambda s: J.stream_duplicates(s, f"{tmp_path}/d/out", f"{tmp_path}/d/cp"))
+    found = spark.read.parquet(f"{tmp_path}/d/out/concerns").selectExpr("repo", "path", "references[0].path as other").collect()
+    assert {(r.repo, r.path, r.other) for r in found} == {("a", "o.py", "m.py"), ("a", "p.py", "o.py")}
+
+
+def test_stream_ledger_keeps_late_rows(spark, tmp_path):
+    schema = "event_id string, generated_at timestamp, mode string"
+
+    def at(day):
+        return datetime.datetime(2024, 1, day)
+
+    batches = [[("a", at(10), "m"), ("b", at(11), "m"), ("a", at(10), "m")], [("c", at(2), "m"), ("b", at(11), "m"), ("d", at(12), "m"), (None, at(3), "m")]]
+    in_turn(spark, tmp_path, schema, batches, lambda s: J.stream_ledger(s, f"{tmp_path}/out", f"{tmp_path}/cp", id_col="event_id"))
+    got = [r.event_id for r in spark.read.parquet(f"{tmp_path}/out").collect()]
+    assert sorted(x or "" for x in got) == ["", "a", "b", "c", "d"]
+
+
+def test_all_files_of_a_group_move(spark):
+    paths = [(f"src/pkg/alpha_{chr(97 + i)}.py",) for i in range(15)] + [("src/pkg/__init__.py",)]
+    direct = spark.createDataFrame(paths, "path string")
+    groups = Y.domain_groups(direct, hints={})
+    imports = spark.createDataFrame([("src/pkg/alpha_a.py", 1)], "path string, n long")
+    plan = Y.move_plan(Y.placement(direct, imports, hints={}), groups)
+    assert {r.action: r["count"] for r in plan.groupBy("action").count().collect()} == {"move": 15, "retain": 1}
