@@ -1,10 +1,11 @@
-"""Embedding near-dedup over hierarchical navigable small-world graphs, one per shard.
+"""Embedding near-dedup: balls found over hierarchical navigable small-world graphs, one per shard.
 
 Vectors are dealt into shards by hash. A shard puts near copies into balls: any two members of a
 ball are at half the linking angle from its leader, so they are linked without a test. The
-leaders form the shard's graph. All leaders of all shards then ask every shard's graph, in blocks,
-with beams that widen while their last entry is still near enough, and for a whole block while an
-audit fails: probes at the linking angle from known leaders must find them. Pairs of balls that the
+leaders form the shard's graph, and a vector that the graph does not lead to its ball only makes one
+more leader. All leaders of all shards are then compared with every shard's leaders by matrix products,
+in blocks: a search of the graph can miss leaders, whole groups of them where a group's members are nearer
+to one another than to the rest, and an audit of samples does not show it. Pairs of balls that the
 angles between and within them decide are settled whole; of other pairs the members are compared by
 cosine in double precision, tile by tile. Components are unions of balls.
 
@@ -36,9 +37,9 @@ BLOCK_ROWS = 16_384
 #: Neighbours of a node, on the upper levels and on the lowest.
 DEGREE, LOWEST_DEGREE = 12, 24
 BUILD_BEAM, BEAM = 32, 16
-#: Share of the audit's probes that a search must find, and their number.
-AUDIT_RECALL, PROBES = 0.99, 128
 TILE = 512
+#: Queries and leaders in one matrix product.
+COMPARED = 2048
 _EPSILON = 1e-9
 
 
@@ -166,19 +167,6 @@ class Graph:
         near[nodes] = np.take_along_axis(both_near, best, 1)
         links[nodes] = np.where(np.isfinite(near[nodes]), np.take_along_axis(both, best, 1), -1)
 
-    def dump(self, **more: np.ndarray) -> bytes:
-        out = io.BytesIO()
-        np.savez(out, vectors=self.vectors, top=self.top, depth=np.array(len(self.levels)), **{f"level{i}": x.astype(np.int32) for i, x in enumerate(self.levels)}, **more)
-        return out.getvalue()
-
-
-def loaded(data: bytes) -> tuple[Graph, dict[str, np.ndarray]]:
-    parts = dict(np.load(io.BytesIO(data)))
-    graph = Graph(parts["vectors"].shape[1])
-    graph.vectors, graph.top = parts["vectors"], parts["top"]
-    graph.levels = [parts[f"level{i}"].astype(np.int64) for i in range(int(parts["depth"]))]
-    return graph, parts
-
 
 def build(vectors: np.ndarray, angle: float, seed: int) -> tuple[Graph, np.ndarray, np.ndarray]:
     """(graph over leaders, the leader's row for each node, the node of each vector's ball)."""
@@ -240,57 +228,41 @@ def _matrix(column, dim: int) -> np.ndarray:
 
 
 def _balls(rows: DataFrame, shards: int, angle: float) -> DataFrame:
-    """Per shard: a row for each vector with its ball, and one row with the graph."""
+    """Per shard: a row for each vector with its ball, and one row with the leaders."""
 
     def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         dim, shard = int(key[0]), int(key[1])
         frame = frame.sort_values("uid")
         vectors, uid = _matrix(frame["unit"], dim), frame["uid"].to_numpy()
-        graph, leaders, ball = build(vectors, angle, shard)
+        _, leaders, ball = build(vectors, angle, shard)
         cosine = np.clip(np.einsum("ij,ij->i", vectors, vectors[leaders[ball]]), -1, 1)
         spread = np.where(np.arange(len(ball)) == leaders[ball], 0.0, np.arccos(cosine) + _EPSILON)
         radius = np.zeros(len(leaders))
         np.maximum.at(radius, ball, spread)
         size = np.bincount(ball, minlength=len(leaders))
-        out = pd.DataFrame({"dim": dim, "shard": shard, "uid": uid, "ball": uid[leaders[ball]], "radius": radius[ball], "size": size[ball], "graph": None})
-        data = graph.dump(radius=radius, size=size, uid=uid[leaders], exact=vectors[leaders])
-        last = pd.DataFrame({"dim": [dim], "shard": [shard], "uid": [None], "ball": [None], "radius": [None], "size": [None], "graph": [data]})
+        out = pd.DataFrame({"dim": dim, "shard": shard, "uid": uid, "ball": uid[leaders[ball]], "radius": radius[ball], "size": size[ball], "leaders": None})
+        data = io.BytesIO()
+        np.savez(data, radius=radius, size=size, uid=uid[leaders], exact=vectors[leaders])
+        last = pd.DataFrame({"dim": [dim], "shard": [shard], "uid": [None], "ball": [None], "radius": [None], "size": [None], "leaders": [data.getvalue()]})
         return pd.concat([out.astype(object), last], ignore_index=True)
 
-    schema = "dim int, shard long, uid long, ball long, radius double, size long, graph binary"
+    schema = "dim int, shard long, uid long, ball long, radius double, size long, leaders binary"
     dealt = rows.where("unit is not null").select("uid", "dim", "unit", F.pmod(F.xxhash64("uid"), F.lit(shards)).alias("shard"))
     return dealt.groupBy("dim", "shard").applyInPandas(one, schema)
 
 
-def _hits(graph: Graph, parts: dict, queries: np.ndarray, reach: np.ndarray, angle: float) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(query rows, nodes) within reach of one another, with beams as wide as they need."""
-    size = len(graph.vectors)
-    rng = np.random.default_rng(size)
-    source = rng.choice(size, min(PROBES, size), replace=False)
-    side = rng.standard_normal((len(source), queries.shape[1]))
-    base = graph.vectors[source].astype(np.float64)
-    side -= np.einsum("ij,ij->i", side, base)[:, None] * base
-    length = np.linalg.norm(side, axis=1, keepdims=True)
-    side /= np.where(length > 0, length, 1)
-    probes = (np.cos(angle) * base + np.sin(angle) * side).astype(np.float32)
-    beam = min(size, BEAM)
-    while beam < size:
-        nodes, _ = graph.nearest(probes, beam)
-        if (nodes == source[:, None]).any(1).mean() >= AUDIT_RECALL:
-            break
-        beam = min(size, 2 * beam)
-    out = []
-    open_ = np.arange(len(queries))
-    least = np.cos(np.minimum(np.pi, angle + reach + parts["radius"].max()))
-    fast = queries.astype(np.float32)
-    while len(open_):
-        nodes, near = graph.nearest(fast[open_], beam)
-        full = (near[:, -1] >= least[open_] - 1e-5) & (beam < size)
-        row, col = np.nonzero((near >= least[open_, None] - 1e-5) & ~full[:, None] & (nodes >= 0))
-        out.append((open_[row], nodes[row, col]))
-        open_ = open_[full]
-        beam = min(size, 2 * beam)
-    return out
+def _hits(leaders: np.ndarray, radius: np.ndarray, queries: np.ndarray, reach: np.ndarray, angle: float) -> tuple[np.ndarray, np.ndarray]:
+    """(query rows, leaders) within reach of one another: all such pairs, compared tile by tile."""
+    least = np.cos(np.minimum(np.pi, angle + reach + radius.max())) - 1e-5
+    queries = queries.astype(np.float32)
+    rows, nodes = [], []
+    for j in range(0, len(leaders), COMPARED):
+        other = leaders[j : j + COMPARED].astype(np.float32).T
+        for i in range(0, len(queries), COMPARED):
+            row, node = np.nonzero(queries[i : i + COMPARED] @ other >= least[i : i + COMPARED, None])
+            rows.append(row + i)
+            nodes.append(node + j)
+    return np.concatenate(rows), np.concatenate(nodes)
 
 
 _PAIR = "a long, b long, size_a long, size_b long, whole boolean"
@@ -300,21 +272,21 @@ def _ball_pairs(rows: DataFrame, balls: DataFrame, angle: float, threshold: floa
     """Pairs of balls that may link; ``whole``: all their members do."""
     leaders = balls.where("uid = ball").select("dim", "ball", "radius", "size")
     queries = leaders.join(rows.select(F.col("uid").alias("ball"), "unit"), "ball")
-    graphs = balls.where("graph is not null").select("dim", "shard", "graph")
+    shown = balls.where("leaders is not null").select("dim", "shard", "leaders")
     count = leaders.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("long").alias("blocks"))  # a row for each vector length
     asked = queries.join(count, "dim").withColumn("block", F.pmod(F.xxhash64("ball"), F.col("blocks")))
-    asked = asked.join(graphs.select("dim", "shard"), "dim").drop("blocks")  # every block asks every shard
-    shown = graphs.join(count, "dim").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    asked = asked.join(shown.select("dim", "shard"), "dim").drop("blocks")  # every block asks every shard
+    shown = shown.join(count, "dim").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
 
     def ask(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         names = ["a", "b", "size_a", "size_b", "whole"]
         if not len(left) or not len(right):
             return pd.DataFrame({n: pd.Series(dtype="bool" if n == "whole" else "int64") for n in names})
-        graph, parts = loaded(right["graph"].iloc[0])
+        parts = np.load(io.BytesIO(right["leaders"].iloc[0]))
+        parts = {name: parts[name] for name in parts.files}
         left = left.sort_values("ball")
         vectors, radius, uid = _matrix(left["unit"], int(key[0])), left["radius"].to_numpy(), left["ball"].to_numpy()
-        found = _hits(graph, parts, vectors, radius, angle)
-        row, node = np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+        row, node = _hits(parts["exact"], parts["radius"], vectors, radius, angle)
         other = uid[row] != parts["uid"][node]
         row, node = row[other], node[other]
         cosine = np.einsum("ij,ij->i", vectors[row], parts["exact"][node])

@@ -142,6 +142,22 @@ def test_hnsw(spark, monkeypatch, seed):
     assert hnsw.linked_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def test_hnsw_tight_clusters():
+    """Groups of more leaders than a node has neighbours, nearer to one another than to the rest."""
+    rng = np.random.default_rng(464)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit(np.repeat(unit(rng.standard_normal((400, 64))), 30, 0) + 0.25 / 8 * rng.standard_normal((12000, 64)))
+    rng.shuffle(x)
+    angle = float(np.arccos(0.9))
+    _, leaders, ball = hnsw.build(x[:6000], angle, 1)
+    own, asked = x[leaders], x[6000:]
+    row, node = hnsw._hits(own, np.zeros(len(own)), asked, np.zeros(len(asked)), angle)
+    found = np.zeros((len(asked), len(own)), bool)
+    found[row, node] = True
+    linked = asked @ own.T >= 0.9
+    assert linked.sum() > 80000 and not (linked & ~found).any()
+
+
 def shingles(text, k):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
     return {tuple(words[i : i + k]) for i in range(max(1, len(words) - k + 1))} if words else set()
