@@ -33,7 +33,10 @@ from .common import on_batches
 KNOWN_WORDS, KNOWN_PAIRS = 700_000, 1_000_000
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
-_OTHER = re.compile("[^\\t-\\r -~" + _LATIN + "]")
+_LETTERS = re.compile("[" + _LATIN + "]+")
+# Some capitals in that range have small letters outside it; texts with them go to the library.
+_KEPT = "".join(c for c in map(chr, range(0x250)) if _LETTERS.fullmatch(c) and _LETTERS.fullmatch(c.lower()))
+_OTHER = re.compile("[^\\t-\\r -~" + _KEPT + "]")
 # The pre-tokenizer's pattern, over the characters that are handled here.
 _WORD = re.compile("[" + _LATIN + "]+|'s|'t|'re|'ve|'m|'ll|'d|[0-9]|[!-/:-@\\[-`{-~]+")
 _NEVER = 1 << 60

@@ -108,6 +108,18 @@ def test_bpe(spark, name):
     assert bpe.bpe_digests(spark.createDataFrame([], DOC), path).count() == 0
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_bpe_latin_letters(name):
+    """Every letter from U+00C0 to U+024F, alone and in a word of plain letters."""
+    from tokenizers import Tokenizer
+
+    path = public_tokenizer(name)
+    plain, model = Tokenizer.from_file(path), bpe.coder(path)
+    for letter in map(chr, range(0xC0, 0x250)):
+        for text in (letter, f"{letter}kwan a{letter}de, the {letter}"):
+            assert list(array.array("I", model.encode(text))) == plain.encode(text, add_special_tokens=False).ids
+
+
 def grouped(nodes, links):
     top = {n: n for n in nodes}
 
