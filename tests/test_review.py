@@ -1,5 +1,7 @@
 """A whole incremental review on a small tree."""
 
+from codevigil.operators import cleanup, contracts
+from codevigil.operators import review as R
 from codevigil.plans.review import incremental_review
 from codevigil.sources import extract as B
 from tests.test_extraction import LOOP
@@ -24,3 +26,26 @@ def test_incremental_review(spark):
     assert {r.kind for r in shown} == {"duplication", "architecture-contract"}
     assert all("risk_context.coverage_level=low" in r.evidence for r in shown)
     assert out["signals"].where("metric = 'total'").count() == 2
+
+
+def test_concerns_of_all_items(spark):
+    """More items than the old caps (5, 8, 4, 3, 10 and 20) all become concerns."""
+    paths = [f"src/p{i:02}.py" for i in range(30)]
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    seen = lambda df: sorted({r.path for r in df.collect()})
+    inventory = frame([(p, "temp", "file", 0.5, ["x"]) for p in paths], "path string, category string, kind string, confidence double, evidence array<string>")
+    assert seen(R.cleanup_concerns(inventory)) == paths and len(seen(R.cleanup_concerns(inventory, 5))) == 5
+    archive = inventory.selectExpr("*", "'ready' AS archive_tier", "false AS review_required", "'' AS archive_path_hint")
+    assert seen(R.archive_concerns(archive)) == paths
+    ranked = frame([(p, i + 1, "m") for i, p in enumerate(paths)], "path string, rank int, dominant_metric string")
+    assert seen(R.hotspot_concerns(ranked)) == paths and len(seen(R.hotspot_concerns(ranked, 8))) == 8
+    topology = frame([("src", True, 30)], "source_root string, needs_folders boolean, flat_files int")
+    plan = frame([(p, "move" if i < 10 else "review", "f", p + "x") for i, p in enumerate(paths[:20])], "path string, action string, folder string, target string")
+    groups = frame([(f"g{p}", 6, [p, p + "b", p + "c", p + "d"]) for p in paths[20:]], "group_id string, file_count int, candidate_files array<string>")
+    assert seen(R.topology_concerns(topology, plan, groups)) == sorted(paths + [p + s for p in paths[20:] for s in "bcd"])
+    changed = frame([(i, f"c{i}", [f"src/core/{i}.py"] + ["legacy/a.py"] * (i > 10)) for i in range(30)], "ord int, component string, changed_files array<string>")
+    assert {r.ord for r in cleanup.transient_changes(changed).collect()} == set(range(11, 30))
+    one = frame([("src/none.py",)], "path string")
+    planned = frame([(p,) for p in paths], "path string")
+    rows = contracts.plan_paths(one, planned, planned.selectExpr("path AS test_path").limit(0), planned.limit(0))
+    assert set(seen(rows)) >= set(paths)
