@@ -201,7 +201,7 @@ def _signatures(t):
 )
 def component_descriptors(t):
     files = t.v_find.select("path", "component")
-    df = C.descriptors(files, _signatures(t), t.v_find, t.v_edge)
+    df = C.descriptors(files, _signatures(t), t.v_find, t.v_edge, hotspot_limit=200, file_limit=24)
     lists = {n: F.array_join(n, ",") for n in ("files", "primary_symbols", "hotspot_paths", "neighbours")}
     return df.drop("test_anchors", "descriptor_terms", "neighbour_count").withColumns(lists)
 

@@ -54,11 +54,12 @@ def document_tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(low, F.lit(WORD), F.lit(0)))
 
 
-def component_tokens(component: Column, limit: int = 8) -> Column:
-    """Words of a component name that a goal may mention."""
+def component_tokens(component: Column, limit: int | None = None) -> Column:
+    """Words of a component name that a goal may mention; ``limit`` keeps the first such words only."""
     low = F.translate(F.lower(component), ":-", "/_")
     words = F.regexp_extract_all(low, F.lit("[a-z0-9_]{3,}"), F.lit(0))
-    return F.slice(F.filter(words, lambda t: ~t.isin(GOAL_STOPWORDS)), 1, limit)
+    kept = F.filter(words, lambda t: ~t.isin(GOAL_STOPWORDS))
+    return kept if limit is None else F.slice(kept, 1, limit)
 
 
 def descriptor_tokens(text: Column) -> Column:

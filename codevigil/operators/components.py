@@ -184,55 +184,73 @@ def descriptor_confidence() -> Column:
     return F.least(points, F.lit(95)) / 100.0
 
 
+def _file_and_symbol_terms(files: DataFrame, signatures: DataFrame) -> DataFrame:
+    """Distinct words of all symbols and of all paths of each component, sorted."""
+    keys = [*scope_of(files, signatures), "component"]
+    named = signatures.withColumn("name", F.trim(F.coalesce("name", F.lit("")))).where(symbol_rank(F.col("name")) > 0)
+
+    def words(df: DataFrame, text: str) -> DataFrame:
+        return df.select(*keys, F.explode(descriptor_tokens(F.col(text))).alias("term")).distinct()
+
+    both = words(named, "name").withColumn("symbol", F.lit(True)).unionByName(words(files, "path").withColumn("symbol", F.lit(False)))
+    lists = {"_symbol_terms": F.col("symbol"), "_file_terms": ~F.col("symbol")}
+    return both.groupBy(*keys).agg(*[F.sort_array(F.collect_list(F.when(own, F.col("term")))).alias(n) for n, own in lists.items()])
+
+
 def descriptors(
     files: DataFrame,
     signatures: DataFrame,
     findings: DataFrame,
     edges: DataFrame,
     test_anchors: DataFrame | None = None,
+    hotspot_limit: int | None = None,
+    file_limit: int | None = None,
+    term_limit: int | None = None,
 ) -> DataFrame:
-    """One descriptor per component. ``files`` has path and component; every list is cut before it is collected."""
+    """One descriptor per component. ``files`` has path and component.
+
+    Hotspots are the first six of the component itself. Terms are all distinct words of the component, its role and
+    summary, then of its symbols and files. ``hotspot_limit`` keeps the first hotspots of the whole scope,
+    ``file_limit`` the first files of a component and ``term_limit`` the first terms only.
+    """
     scope = scope_of(files, signatures, findings, edges)
     keys = [*scope, "component"]
     files = files.select(*keys, "path").distinct()
     base = files.groupBy(*keys).agg(F.count(F.lit(1)).alias("file_count"))
-    first = top_per(files, keys, [F.asc("path")], 24)
+    first = files if file_limit is None else top_per(files, keys, [F.asc("path")], file_limit)
     listed = first.groupBy(*keys).agg(F.sort_array(F.collect_list("path")).alias("files"))
     rows = normalise_findings(findings)
     severities = rows.groupBy(*keys).agg(*[count_if(F.col("severity") == s).alias(s) for s in ("critical", "warning", "info")])
     per_path = rows.select(*keys, "path").distinct()
-    spots = top_per(hotspot_scores(findings), scope, hotspot_order(), 200).join(per_path, [*scope, "path"])
-    spots = top_per(spots.drop("rank"), keys, hotspot_order(), 6)
+    spots = hotspot_scores(findings)
+    if hotspot_limit is not None:
+        spots = top_per(spots, scope, hotspot_order(), hotspot_limit).drop("rank")
+    spots = top_per(spots.join(per_path, [*scope, "path"]), keys, hotspot_order(), 6)
     hot = spots.groupBy(*keys).agg(ordered_list(F.col("path"), F.col("rank")).alias("hotspot_paths"))
     near = component_neighbors(component_graph(edges), 8).groupBy(*scope, F.col("src_component").alias("component"))
     near = near.agg(ordered_list(F.col("dst_component"), F.col("rank")).alias("neighbours"))
     out = base
-    for part in (listed, severities, hot, near, primary_symbols(signatures), component_roles(files)):
+    words = _file_and_symbol_terms(files, signatures)
+    for part in (listed, severities, hot, near, primary_symbols(signatures), component_roles(files), words):
         out = out.join(part, keys, "left")
     if test_anchors is not None:
         out = out.join(test_anchors, keys, "left")
     else:
         out = out.withColumn("test_anchors", F.lit(None).cast("array<string>"))
     empty = F.array().cast("array<string>")
-    for name in ("files", "hotspot_paths", "neighbours", "primary_symbols", "test_anchors"):
+    for name in ("files", "hotspot_paths", "neighbours", "primary_symbols", "test_anchors", "_symbol_terms", "_file_terms"):
         out = out.withColumn(name, F.coalesce(F.col(name), empty))
     out = out.withColumn("responsibility_summary", responsibility_summary())
-    texts = F.concat_ws(
-        "\n",
-        "component",
-        "layer_role",
-        "responsibility_summary",
-        F.slice("primary_symbols", 1, 8),
-        F.slice("files", 1, 8),
-    )
+    texts = F.concat_ws("\n", "component", "layer_role", "responsibility_summary", "primary_symbols")
+    terms = F.array_distinct(F.concat(descriptor_tokens(texts), "_symbol_terms", "_file_terms"))
     return out.withColumns(
         {
-            "descriptor_terms": F.slice(descriptor_tokens(texts), 1, 24),
+            "descriptor_terms": terms if term_limit is None else F.slice(terms, 1, term_limit),
             "confidence": descriptor_confidence(),
             "neighbour_count": F.size("neighbours"),
             **{s: F.coalesce(F.col(s), F.lit(0)) for s in ("critical", "warning", "info")},
         }
-    )
+    ).drop("_symbol_terms", "_file_terms")
 
 
 def descriptor_search_text() -> Column:
