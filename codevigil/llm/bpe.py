@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from .common import on_batches
 
 #: Pretokens, and pairs of tokens, that one worker remembers at most.
-KNOWN_WORDS, KNOWN_PAIRS = 700_000, 1_000_000
+KNOWN_WORDS, KNOWN_PAIRS = 250_000, 250_000
 
 _LATIN = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
 _LETTERS = re.compile("[" + _LATIN + "]+")

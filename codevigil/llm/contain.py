@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,12 +81,15 @@ class Sketches:
                     yield int(i), shared
 
 
+def _wanted(items: DataFrame) -> DataFrame:
+    return items.select(F.col("item_id").cast("long"), "text").where("text is not null").distinct()
+
+
 def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Rows (doc_id, item_id, n_shared, n_item) of the items that num/den of whose shingles a document holds."""
-    wanted = items.select(F.col("item_id").cast("long"), "text").where("text is not null").distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for block in _blocks(wanted):
+    for block in _blocks(_wanted(items)):
         sketches = texts.sparkSession.sparkContext.broadcast(Sketches(block, k, num, den))
 
         def step(batch: pa.RecordBatch, sketches=sketches):
@@ -104,6 +108,20 @@ def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 80
 
 
 def without_leaks(docs: DataFrame, items: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
-    """Documents that contain no item; their columns stay as they are. Rows without id stay."""
-    leaks = contained_items(docs, items, k, num, den).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti")
+    """Documents that contain no item; their columns stay as they are.
+
+    Every row is judged by its own text in one pass: of rows that share an id, each stays or goes by
+    itself. Rows without id stay.
+    """
+    number, text = docs.columns.index("doc_id"), docs.columns.index("text")
+    for block in _blocks(_wanted(items)):
+        sketches = docs.sparkSession.sparkContext.broadcast(Sketches(block, k, num, den))
+
+        def step(batch: pa.RecordBatch, sketches=sketches):
+            keep = np.ones(batch.num_rows, bool)
+            for row, elements in shingle_sets(batch.column(text), k):
+                keep[row] = not len(elements) or next(sketches.value.contained(elements), None) is None
+            yield batch.filter(pc.or_(pa.array(keep), batch.column(number).is_null()))
+
+        docs = on_batches(docs, step, docs.schema)
+    return docs

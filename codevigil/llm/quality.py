@@ -5,7 +5,7 @@ neighbouring words and hashed n-grams of 3 and 4 bytes within a word, the white
 included; ``BLANKS`` zero vectors join the average, so that a few features do not decide alone.
 The hash of a pair is that of the XOR of both words, so a word said twice is one feature whatever
 the word. Two softmax outputs read the average. Vectors and outputs are trained together by stochastic gradient descent in
-numpy on a sample of labelled documents of bounded size, in one task; everything else runs
+numpy on a sample of labelled documents of bounded number and bytes, in one task; everything else runs
 over all documents. Because the outputs are linear in the average, scoring needs one number
 per feature, the score of the feature's own vector, which is what executors are sent
 (``BUCKETS`` numbers, whatever the data).
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ BUCKETS = 1 << 18
 DIMENSIONS = 8
 #: Labelled documents of each class that training takes at most; chosen by the hash of their id.
 SAMPLE = 3_000
+#: Bytes of text that training takes at most, and of a document it learns from; longer ones are only scored.
+SAMPLE_BYTES, LONGEST = 48 << 20, 1 << 20
 #: Passes over the sample: so many, or as many as give ``LEAST_STEPS`` updates.
 EPOCHS, LEAST_STEPS = 4, 4_000
 BLANKS = 30
@@ -77,17 +80,19 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(buckets), np.concatenate(places)
 
 
-def train(texts: list[str], labels: list[int], seed: int = 1) -> tuple[np.ndarray, float]:
+def shares(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a text and the share of each in its average."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    with np.errstate(over="ignore"):
+        bucket, count = np.unique(features(data, np.array([0, len(data)]))[0], return_counts=True)
+    return bucket.astype(np.int32), count / (BLANKS + count.sum())
+
+
+def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int = 1) -> tuple[np.ndarray, float]:
     """(score of each bucket, bias) after gradient descent over documents in a fixed random order."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS
     outputs, bias = np.zeros((2, DIMENSIONS)), np.zeros(2)
-    docs = []
-    with np.errstate(over="ignore"):
-        for text in texts:
-            data = np.frombuffer(text.encode(), np.uint8)
-            bucket, count = np.unique(features(data, np.array([0, len(data)]))[0], return_counts=True)
-            docs.append((bucket, count / (BLANKS + count.sum())))
     epochs = max(EPOCHS, -(-LEAST_STEPS // len(docs)))
     steps, done = epochs * len(docs), 0
     for _ in range(epochs):
@@ -111,7 +116,8 @@ def train(texts: list[str], labels: list[int], seed: int = 1) -> tuple[np.ndarra
 def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     """Scores of features learned from the labelled documents outside the held-out fold.
 
-    The sample holds at most ``SAMPLE`` documents of each class, the first by the hash of their id.
+    The sample holds at most ``SAMPLE`` documents of each class, the first by the hash of their id, of at
+    most ``LONGEST`` bytes each and ``SAMPLE_BYTES`` bytes together; the task keeps features, not texts.
     """
     marked = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality").where("doc_id is not null and quality is not null")
     marked = marked.where(~held_out("doc_id")).groupBy("doc_id").agg((F.avg(F.col("quality").cast("double")) >= 0.5).cast("int").alias("label"))
@@ -121,15 +127,20 @@ def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     for label in (0, 1):
         part = known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
         chosen = part if chosen is None else chosen.unionByName(part)
-    sample = texts.join(chosen, "doc_id").repartition(1).sortWithinPartitions("doc_id", "text")
+    short = texts.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= LONGEST)
+    sample = short.join(chosen, "doc_id").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
 
     def fit(batches):
-        texts, labels = [], []
+        learned, labels, size = [], [], 0
         for batch in batches:
-            texts += [t or "" for t in batch.column(1).to_pylist()]
-            labels += batch.column(2).to_pylist()
-        if texts:
-            scores, bias = train(texts, labels)
+            for text, label in zip(batch.column(1), batch.column(2)):
+                text = text.as_py() or ""
+                size += len(text.encode())
+                if size <= SAMPLE_BYTES:
+                    learned.append(shares(text))
+                    labels.append(label.as_py())
+        if learned:
+            scores, bias = train(learned, labels)
             yield pa.RecordBatch.from_arrays([pa.array([scores.astype("<f8").tobytes()]), pa.array([bias])], names=["scores", "bias"])
 
     model = sample.select("doc_id", "text", "label").mapInArrow(fit, "scores binary, bias double").collect()  # one row
@@ -143,30 +154,49 @@ def held_out(doc_id: str):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score (0 to 1) and predicted (1 if score >= threshold) for every row of ``docs``."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    model = texts.sparkSession.sparkContext.broadcast(trained(docs, labels))
+def _scorer(docs: DataFrame, labels: DataFrame):
+    """A function from a column of texts to their scores, with the trained model broadcast."""
+    model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels))
 
-    def step(batch: pa.RecordBatch):
+    def score(texts: pa.Array) -> np.ndarray:
         scores, bias = model.value
-        odds = np.full(batch.num_rows, bias)
+        odds = np.full(len(texts), bias)
         with np.errstate(over="ignore"):
-            for first, end, data, bounds in text_slices(batch.column(1)):
+            for first, end, data, bounds in text_slices(texts):
                 bucket, place = features(data, bounds)
                 row = np.searchsorted(bounds, place, side="right") - 1
                 total = np.bincount(row, weights=scores[bucket], minlength=end - first)
                 count = np.bincount(row, minlength=end - first)
                 odds[first:end] += total / (BLANKS + count)
-        score = 1 / (1 + np.exp(-odds))
+        return 1 / (1 + np.exp(-odds))
+
+    return score
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """doc_id, held_out, score (0 to 1) and predicted (1 if score >= threshold) for every row of ``docs``."""
+    score_of = _scorer(docs, labels)
+
+    def step(batch: pa.RecordBatch):
+        score = score_of(batch.column(1))
         columns = [batch.column(0), pa.array(score), pa.array((score >= threshold).astype(np.int32))]
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "predicted"])
 
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = on_batches(texts, step, "doc_id long, score double, predicted int")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
 def good_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Documents that the classifier accepts; their columns stay as they are. Rows without id stay."""
-    rejected = quality_scores(docs, labels, threshold).where("predicted = 0").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti")
+    """Documents that the classifier accepts; their columns stay as they are.
+
+    Every row is judged by its own text in the pass that scores it: of rows that share an id, each
+    stays or goes by itself. Rows without id stay.
+    """
+    score_of, number, text = _scorer(docs, labels), docs.columns.index("doc_id"), docs.columns.index("text")
+
+    def step(batch: pa.RecordBatch):
+        good = pa.array(score_of(batch.column(text)) >= threshold)
+        yield batch.filter(pc.or_(good, batch.column(number).is_null()))
+
+    return on_batches(docs, step, docs.schema)

@@ -290,6 +290,24 @@ def test_quality(spark):
     assert [r.score for r in quality.quality_scores(odd, none).collect()] == [0.5] * 4
 
 
+def test_filters_judge_rows(spark):
+    """Rows that share an id, or have none: each stays or goes by its own text; other columns pass through."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    marked = {r.doc_id: r for r in quality.quality_scores(docs, labels).collect()}
+    said = {r.doc_id: r.text for r in docs.collect()}
+    good, bad = (pick((i for i in marked if said[i]), key=lambda i: marked[i].score) for pick in (max, min))
+    rows = [(-1, said[good], "x"), (-1, said[bad], "y"), (None, said[bad], None), (good, said[good], None), (good, said[good], None)]
+    few = docs.select("doc_id", "text").withColumn("score", F.lit("z")).unionByName(spark.createDataFrame(rows, DOC + ", score string"))
+    kept = collections.Counter((r.doc_id, r.text, r.score) for r in quality.good_documents(few, labels).where("score is null or score <> 'z'").collect())
+    assert kept == {(-1, said[good], "x"): 1, (None, said[bad], None): 1, (good, said[good], None): 2}
+    assert quality.good_documents(few.limit(0), labels).count() == 0
+    item = "a test item of seven plain words"
+    df = spark.createDataFrame([(1, "before " + item, 0), (1, "clean words only here", 0), (None, item, 0), (2, None, 0)], DOC + ", n long")
+    items = spark.createDataFrame([(5, item)], "item_id long, text string")
+    assert {(r.doc_id, r.text) for r in contain.without_leaks(df, items).collect()} == {(1, "clean words only here"), (None, item), (2, None)}
+    assert contain.without_leaks(df.limit(0), items).count() == 0
+
+
 def plain_base(text):
     """The base kinds by their patterns alone."""
     out = [(m.start(), 0, m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
