@@ -25,6 +25,8 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _cell(value):
     if value is None or (isinstance(value, float) and math.isnan(value)) or value is pd.NaT or value is pd.NA:
         return None
+    if isinstance(value, bytearray):
+        return bytes(value)
     if hasattr(value, "item"):
         value = value.item()
     if isinstance(value, bool):
@@ -33,7 +35,7 @@ def _cell(value):
         return round(value, 9)
     if hasattr(value, "isoformat"):
         return pd.Timestamp(value).isoformat()
-    if isinstance(value, (int, str)):
+    if isinstance(value, (int, str, bytes)):
         return value
     raise TypeError(f"{type(value)} is not a scalar column")
 
