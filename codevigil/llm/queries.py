@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, contain, hnsw, parity_join, pii, quality, repeats, token_file, urls
+from . import align, bpe, chat, contain, hnsw, parity_join, pii, quality, repeats, token_file, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -183,3 +183,8 @@ def _quality(table):
 @query("op10_personal_data")
 def _personal_data(table):
     return pii.find_personal_data(table("documents"))
+
+
+@query("op11_token_alignment")
+def _token_alignment(table):
+    return align.alignment_statistics(table("documents"), public_tokenizer("byte_bpe_50k.json"), public_tokenizer("piece_bpe_32k.model"))
