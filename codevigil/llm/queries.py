@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, bpe, chat, contain, hnsw, parity_join, pii, quality, repeats, token_file, urls
+from . import align, bpe, chat, contain, hnsw, parity_join, periodic, pii, quality, repeats, token_file, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -188,3 +188,8 @@ def _personal_data(table):
 @query("op11_token_alignment")
 def _token_alignment(table):
     return align.alignment_statistics(table("documents"), public_tokenizer("byte_bpe_50k.json"), public_tokenizer("piece_bpe_32k.model"))
+
+
+@query("op12_periodic_runs")
+def _periodic_runs(table):
+    return periodic.run_digests(table("documents"), periodic.planted_order)
