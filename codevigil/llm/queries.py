@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import align, bpe, chat, contain, hnsw, parity_join, periodic, pii, quality, repeats, token_file, urls
+from . import align, bpe, chat, contain, hnsw, licenses, parity_join, periodic, pii, quality, repeats, token_file, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -193,3 +193,8 @@ def _token_alignment(table):
 @query("op12_periodic_runs")
 def _periodic_runs(table):
     return periodic.run_digests(table("documents"), periodic.planted_order)
+
+
+@query("op13_license_scan", licenses.oracle())
+def _license_scan(table):
+    return licenses.scanned_licenses(table("documents"))
