@@ -18,6 +18,8 @@ labelled document every score is 0.5; extra columns are ignored.
 
 from __future__ import annotations
 
+import array
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -80,31 +82,41 @@ def features(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.concatenate(buckets), np.concatenate(places)
 
 
-def shares(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct buckets of a text and the share of each in its average."""
-    data = np.frombuffer(text.encode(), np.uint8)
-    with np.errstate(over="ignore"):
-        bucket, count = np.unique(features(data, np.array([0, len(data)]))[0], return_counts=True)
-    return bucket.astype(np.int32), count / (BLANKS + count.sum())
+class Sample:
+    """Distinct buckets of texts and how often each occurs, one text after the other in two flat arrays."""
+
+    def __init__(self):
+        self.buckets, self.counts, self.ends, self.labels = array.array("i"), array.array("H"), [0], []
+
+    def add(self, text: str, label: int) -> None:
+        data = np.frombuffer(text.encode(), np.uint8)
+        with np.errstate(over="ignore"):
+            bucket, count = np.unique(features(data, np.array([0, len(data)]))[0], return_counts=True)
+        self.buckets.frombytes(bucket.astype(np.int32).tobytes())
+        self.counts.frombytes(np.minimum(count, 65535).astype(np.uint16).tobytes())
+        self.ends.append(len(self.buckets))
+        self.labels.append(label)
 
 
-def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], seed: int = 1) -> tuple[np.ndarray, float]:
+def train(sample: Sample, seed: int = 1) -> tuple[np.ndarray, float]:
     """(score of each bucket, bias) after gradient descent over documents in a fixed random order."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)) / DIMENSIONS
     outputs, bias = np.zeros((2, DIMENSIONS)), np.zeros(2)
-    epochs = max(EPOCHS, -(-LEAST_STEPS // len(docs)))
-    steps, done = epochs * len(docs), 0
+    buckets, counts, size = np.frombuffer(sample.buckets, np.int32), np.frombuffer(sample.counts, np.uint16), len(sample.labels)
+    epochs = max(EPOCHS, -(-LEAST_STEPS // size))
+    steps, done = epochs * size, 0
     for _ in range(epochs):
-        for i in rng.permutation(len(docs)):
-            bucket, share = docs[i]
+        for i in rng.permutation(size):
+            own = slice(sample.ends[i], sample.ends[i + 1])
+            bucket, share = buckets[own], counts[own] / (BLANKS + counts[own].sum(dtype=np.int64))
             rate = RATE * (1 - done / steps)
             done += 1
             middle = share @ vectors[bucket]
             odds = outputs @ middle + bias
             chance = np.exp(odds - odds.max())
             error = chance / chance.sum()
-            error[labels[i]] -= 1
+            error[sample.labels[i]] -= 1
             back = error @ outputs
             outputs -= rate * np.outer(error, middle)
             bias -= rate * error
@@ -131,16 +143,15 @@ def trained(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, float]:
     sample = short.join(chosen, "doc_id").repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
 
     def fit(batches):
-        learned, labels, size = [], [], 0
+        learned, size = Sample(), 0
         for batch in batches:
             for text, label in zip(batch.column(1), batch.column(2)):
                 text = text.as_py() or ""
                 size += len(text.encode())
                 if size <= SAMPLE_BYTES:
-                    learned.append(shares(text))
-                    labels.append(label.as_py())
-        if learned:
-            scores, bias = train(learned, labels)
+                    learned.add(text, label.as_py())
+        if learned.labels:
+            scores, bias = train(learned)
             yield pa.RecordBatch.from_arrays([pa.array([scores.astype("<f8").tobytes()]), pa.array([bias])], names=["scores", "bias"])
 
     model = sample.select("doc_id", "text", "label").mapInArrow(fit, "scores binary, bias double").collect()  # one row
