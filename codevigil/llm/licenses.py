@@ -129,12 +129,13 @@ def _table(docs: DataFrame, rows: Sequence[tuple], schema: str) -> DataFrame:
 def _scanned(texts: DataFrame, templates: Sequence[Template], rarest: list[list[str]]) -> DataFrame:
     """A numbered row per document: n_words, and for files with all key words of some template what they
     look up: ``look`` (template, words) and ``at`` (word, position) of all template words."""
-    fits = [F.when(F.size(F.array_except(_literal(sorted(set(t.key.split()))), "words")) == 0, F.lit(n)) for n, t in enumerate(templates)]
+    fits = [F.when(F.size(F.array_except(_literal(sorted(set(t.key.split()))), "held")) == 0, F.lit(n)) for n, t in enumerate(templates)]
     order, vocabulary = F.array(*[_literal(w) for w in rarest]), _literal(sorted(set().union(*rarest)))
-    looked = F.transform("fits", lambda n: F.struct(n.alias("template"), F.slice(F.array_intersect(F.get(order, n), F.col("words")), 1, RARE).alias("words")))
-    placed = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("position"))), lambda x: F.array_contains(vocabulary, x["word"]))
+    looked = F.transform("fits", lambda n: F.struct(n.alias("template"), F.slice(F.array_intersect(F.get(order, n), F.col("held")), 1, RARE).alias("words")))
+    placed = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("position"))), lambda x: F.array_contains("held", x["word"]))
     some = F.size("fits") > 0
-    rows = texts.withColumn("fits", F.array_compact(F.array(*fits)))
+    rows = texts.withColumn("held", F.array_intersect("words", vocabulary))
+    rows = rows.withColumn("fits", F.when(F.size("held") > 0, F.array_compact(F.array(*fits))).otherwise(F.array().cast("array<int>")))
     return rows.select(
         F.monotonically_increasing_id().alias("row"), "doc_id", F.size("words").cast("long").alias("n_words"), F.when(some, looked).alias("look"), F.when(some, placed).alias("at")
     )

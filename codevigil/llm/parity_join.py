@@ -2,10 +2,12 @@
 
 Two sets with similarity num/den or more differ in at most d elements, d growing with their
 size. The elements of a set are hashed into m > d blocks (m follows the size in steps: the size
-bands), and each block keeps the parity of its elements as 64 bits. By the
+bands), and each block keeps the parity of its elements as a sketch of 2**32 bits, of which the odd
+ones are held, as the XOR of their hashes. By the
 pigeonhole principle at least m - d blocks of such a pair agree, so both sets share one of
 their first d + 1 blocks in any fixed order of block sketches; the order here puts sketches
-with many bits first, because they are the rarest. Sharing a block makes a candidate, a wider
+with many bits first, because they are the rarest, and m is so much larger than d that blocks of
+fewer than two elements are seldom among them. Sharing a block makes a candidate, a wide
 parity sketch bounds the symmetric difference from below, and the sets themselves decide.
 
 Nothing is lost: within a block's group every member is compared with the group's smallest
@@ -38,9 +40,9 @@ def most_different(size: int, num: int, den: int) -> int:
 
 
 def band(size: int, num: int, den: int) -> int:
-    """Number of blocks for pairs whose larger set has this size: the first of 2, 3, 4, 6, 9, ... over d."""
+    """Number of blocks for pairs whose larger set has this size: the first of 2, 3, 4, 6, 9, ... over 1.2 d."""
     blocks = 2
-    while blocks <= most_different(size, num, den):
+    while 5 * blocks <= 6 * most_different(size, num, den):
         blocks = blocks * 3 // 2
     return blocks
 
@@ -51,18 +53,19 @@ def block_keys(elements: np.ndarray, num: int, den: int) -> np.ndarray:
     most = most_different(size, num, den)
     if most == 0:
         return np.zeros(0, np.uint64)
-    bits = np.uint64(1) << (elements & np.uint64(63))
+    bits = mix((elements & np.uint64(0xFFFFFFFF)) + np.uint64(1))
     out = []
     smallest, largest = band(size, num, den), band(size * den // num, num, den)
     blocks = smallest
     while blocks <= largest:
         block = ((elements >> np.uint64(32)) * np.uint64(blocks) >> np.uint64(32)).astype(np.int64)
         heads = np.flatnonzero(np.diff(block, prepend=-1))
-        sketch = np.zeros(blocks, np.uint64)
+        sketch, count = np.zeros(blocks, np.uint64), np.zeros(blocks, np.int64)
         sketch[block[heads]] = np.bitwise_xor.reduceat(bits, heads)
+        count[block[heads]] = np.diff(np.append(heads, size))
         names = np.arange(blocks, dtype=np.uint64) + np.uint64(blocks << 32)
         keys = mix(mix(names) ^ (sketch * np.uint64(0x9E3779B97F4A7C15)))
-        order = np.lexsort((keys, -np.bitwise_count(sketch).astype(np.int64)))
+        order = np.lexsort((keys, -count))
         out.append(keys[order[: most + 1]])
         blocks = blocks * 3 // 2
     return np.concatenate(out)
