@@ -14,14 +14,14 @@ SPOTS = f"""SELECT path, {r2(f"sum({POINTS}) / 100.0")} AS score,
 
 @register(
     "finding_summary",
-    """WITH m AS (SELECT metric, count(*) AS n FROM v_find GROUP BY metric ORDER BY n DESC, metric LIMIT 20)
+    """WITH m AS (SELECT metric, count(*) AS n FROM v_find GROUP BY metric)
     SELECT 'severity' AS facet, severity AS key, count(*) AS n FROM v_find GROUP BY severity
     UNION ALL SELECT 'dimension', dimension, count(*) FROM v_find GROUP BY dimension
     UNION ALL SELECT 'metric', metric, n FROM m
     UNION ALL SELECT 'total', 'all', count(*) FROM v_find""",
 )
 def finding_summary(t):
-    return E.summarize(t.v_find, metric_limit=20)
+    return E.summarize(t.v_find)
 
 
 @register("hotspot_aggregation", SPOTS)
@@ -110,12 +110,12 @@ _STATS = f"""pc AS (SELECT component, path, sum(added) AS added, sum(deleted) AS
 
 
 def stats(t):
-    return C.component_stats(t.v_changes, t.v_find, E.hotspots(t.v_find, 200, details=False))
+    return C.component_stats(t.v_changes, t.v_find, E.hotspots(t.v_find, None, details=False))
 
 
 @register(
     "component_change_stats",
-    f"""WITH {_STATS}, spots AS ({SPOTS} ORDER BY score DESC, critical DESC, path LIMIT 200),
+    f"""WITH {_STATS}, spots AS ({SPOTS}),
     rr AS (SELECT c.component, c.path, s.score, row_number() OVER (PARTITION BY c.component ORDER BY c.ord, c.path) AS i
       FROM v_changes c JOIN spots s USING (path))
     SELECT st.*, (SELECT string_agg(concat(path, '=', CAST(score * 100 AS BIGINT)), ',' ORDER BY i) FROM rr
@@ -173,14 +173,14 @@ def _signatures(t):
         (1 + 4 + 2 + 1 + CASE WHEN length(name) >= 12 THEN 1 ELSE 0 END) DESC, n DESC, length(name) DESC, name) AS i FROM sc),
     f0 AS (SELECT DISTINCT component, path FROM v_find),
     fr AS (SELECT *, row_number() OVER (PARTITION BY component ORDER BY path) AS i FROM f0),
-    spots AS ({SPOTS} ORDER BY score DESC, critical DESC, path LIMIT 200),
+    spots AS ({SPOTS}),
     sp AS (SELECT f0.component, s.path, row_number() OVER (PARTITION BY component ORDER BY score DESC, critical DESC, s.path) AS i
       FROM spots s JOIN f0 USING (path)),
     {_GRAPH}, nb AS (SELECT *, row_number() OVER (PARTITION BY src_component ORDER BY weight DESC, dst_component) AS i FROM gr),
     b AS (SELECT component, count(*) AS file_count FROM f0 GROUP BY component),
     sv AS (SELECT component, {CRITICAL} AS critical, {WARNING} AS warning, {INFO} AS info FROM v_find GROUP BY component),
     l AS (SELECT b.*, critical, warning, info,
-      coalesce((SELECT string_agg(path, ',' ORDER BY i) FROM fr WHERE fr.component = b.component AND i <= 24), '') AS files,
+      coalesce((SELECT string_agg(path, ',' ORDER BY i) FROM fr WHERE fr.component = b.component), '') AS files,
       coalesce((SELECT string_agg(name, ',' ORDER BY i) FROM sr WHERE sr.component = b.component AND i <= 12), '') AS primary_symbols,
       coalesce((SELECT string_agg(path, ',' ORDER BY i) FROM sp WHERE sp.component = b.component AND i <= 6), '') AS hotspot_paths,
       coalesce((SELECT string_agg(dst_component, ',' ORDER BY i) FROM nb WHERE src_component = b.component AND i <= 8), '') AS neighbours
@@ -201,7 +201,7 @@ def _signatures(t):
 )
 def component_descriptors(t):
     files = t.v_find.select("path", "component")
-    df = C.descriptors(files, _signatures(t), t.v_find, t.v_edge, hotspot_limit=200, file_limit=24)
+    df = C.descriptors(files, _signatures(t), t.v_find, t.v_edge)
     lists = {n: F.array_join(n, ",") for n in ("files", "primary_symbols", "hotspot_paths", "neighbours")}
     return df.drop("test_anchors", "descriptor_terms", "neighbour_count").withColumns(lists)
 

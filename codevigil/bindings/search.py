@@ -112,10 +112,9 @@ def file_scores(t):
     return scored(t).withColumn("evidence", F.array_join("evidence", ";"))
 
 
-_CUT = f"""{_GOALS}, p2 AS (SELECT *, row_number() OVER (PARTITION BY goal_id ORDER BY score DESC, path) AS pos FROM sc),
-    kp AS (SELECT * FROM p2 WHERE pos <= 40 AND (len(list_filter(es, lambda x: regexp_matches(x, '^(hint|component|descriptor):'))) > 0
+_CUT = f"""{_GOALS}, kp AS (SELECT * FROM sc WHERE (len(list_filter(es, lambda x: regexp_matches(x, '^(hint|component|descriptor):'))) > 0
       OR (score >= 4 AND len(list_filter(es, lambda x: regexp_matches(x, '^(path|symbol):'))) > 0))),
-    cu AS (SELECT *, row_number() OVER (PARTITION BY goal_id ORDER BY pos) AS rank FROM kp)"""
+    cu AS (SELECT *, row_number() OVER (PARTITION BY goal_id ORDER BY score DESC, path) AS rank FROM kp)"""
 
 
 @register("candidate_cut", f"WITH {_CUT} SELECT goal_id, path, score, CAST(rank AS INT) AS rank FROM cu WHERE rank <= 20")

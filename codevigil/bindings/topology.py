@@ -29,6 +29,10 @@ def topology(t):
     return Y.topology(files).drop("group_total")
 
 
+#: A project's own knowledge: folders of two name prefixes, and of modules that speak of reports.
+RULES = Y.FolderRules(hints={"red": "red", "blue": "colour"}, terms=[(["report"], "reporting", 0.7)])
+
+
 def direct(t):
     """Parts as direct modules of one package per part type: first word = group, second = secondary word."""
     return t.v_parts.select(F.col("p_type").alias("repo"), "path", F.array(F.lower("p_brand")).alias("descriptor_terms"))
@@ -61,8 +65,7 @@ def placed(t):
     imports = t.v_parts.select(F.col("p_type").alias("repo"), "path", (F.col("p_size") % 12).alias("n"))
     vote_words = F.when(F.col("p_size") % 4 == 0, F.array(F.lit("report"))).otherwise(F.array(F.lower("p_brand")))
     rows = t.v_parts.select(F.col("p_type").alias("repo"), "path", vote_words.alias("descriptor_terms"))
-    hints = {"red": "red", "blue": "colour"}
-    return Y.placement(rows, imports, hints)
+    return Y.placement(rows, imports, RULES)
 
 
 _PLACED = """pl AS (SELECT p_type AS repo, path, split_part(p_name, ' ', 1) AS group_id,

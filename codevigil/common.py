@@ -29,6 +29,31 @@ def top_per(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
     return df.orderBy(*order).limit(n).withColumn(rank, F.row_number().over(W.orderBy(*order)))
 
 
+def global_rank(df: DataFrame, scope: Sequence[str], order: Sequence[Column], name: str = "rank") -> DataFrame:
+    """All rows with their place in ``order`` within the scope, without sorting any scope in one task.
+
+    Rows are split into ranges of the order and stored, every range is numbered by itself, and starts
+    where the counts of the ranges before it end. Rows that tie in all of ``order`` are numbered in no
+    fixed order.
+    """
+    from .session import materialise
+
+    spark = df.sparkSession
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.repartitionByRange(ranges, *[F.asc(c) for c in scope], *order).withColumn("_range", F.spark_partition_id())
+    placed = materialise(placed, "ranges")
+    keys = [*scope, "_range"]
+    counts = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    # At most ``ranges`` entries per scope.
+    listed = counts.groupBy(*scope).agg(F.sort_array(F.collect_list(F.struct("_range", "_n"))).alias("_all"))
+    before = F.transform(
+        "_all", lambda x: F.struct(x["_range"].alias("_range"), F.aggregate(F.filter("_all", lambda y: y["_range"] < x["_range"]), F.lit(0).cast("long"), lambda a, y: a + y["_n"]).alias("_before"))
+    )
+    offsets = listed.select(*scope, F.inline(before))
+    numbered = placed.withColumn(name, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+    return numbered.join(offsets, keys).withColumn(name, (F.col(name) + F.col("_before")).cast("long")).drop("_range", "_before")
+
+
 def ordered_list(value: Column, order: Column) -> Column:
     """Aggregate: values in the order of ``order``. Only for groups already cut to a few rows."""
     rows = F.sort_array(F.collect_list(F.struct(order.alias("o"), value.alias("v"))))

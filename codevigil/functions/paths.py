@@ -87,11 +87,11 @@ def is_excluded_path(path: Column) -> Column:
     )
 
 
-def code_likeness(text: Column, first_lines: int | None = None, php_lines: int = 8) -> Column:
+def code_likeness(text: Column, first_lines: int | None = None, php_lines: int | None = None) -> Column:
     """True when the non-blank lines score 3 or more in one of three languages.
 
-    ``first_lines`` looks at the first lines only (40 in an interactive scan); by default all count. A
-    PHP opening tag must stand among the first ``php_lines``, because it opens a file.
+    ``first_lines`` looks at the first lines only (40 in an interactive scan); by default all count.
+    ``php_lines`` looks for a PHP opening tag among the first lines only (8 in an interactive scan).
     """
     lines = F.filter(F.transform(F.split(text, r"\r?\n|\r"), lambda v: F.trim(v)), lambda s: s != "")
     if first_lines is not None:
@@ -117,7 +117,7 @@ def code_likeness(text: Column, first_lines: int | None = None, php_lines: int =
         (r"^(import |export |const |let |var |function )", 2), (r"=>|require\(|module\.exports", 1)
     )
     ruby = points((r"^(require |def |class |module )", 2), (r"^(end|begin)$|^attr_", 1))
-    php = F.exists(F.slice(lines, 1, php_lines), lambda line: line.startswith("<?php"))
+    php = F.exists(lines if php_lines is None else F.slice(lines, 1, php_lines), lambda line: line.startswith("<?php"))
     return php | (python >= 3) | (script >= 3) | (ruby >= 3)
 
 

@@ -17,7 +17,7 @@ from .findings import hotspot_order, hotspot_scores, normalise_findings
 def component_stats(changes: DataFrame, findings: DataFrame, hotspots: DataFrame, ref_limit: int = 8) -> DataFrame:
     """Per component: churn, severity counts of findings on changed paths, and its first hotspot references.
 
-    ``hotspots`` is a top-n table (200 in a review). A path listed twice counts twice.
+    ``hotspots`` may be all of them, or a top-n table (200 in an interactive review). A path listed twice counts twice.
     """
     scope = scope_of(changes, findings, hotspots)
     changes = with_defaults(changes, ord=("long", 0)).withColumn("path", norm_path(F.col("path")))

@@ -103,19 +103,58 @@ def pieces(text: Column, size: int) -> Column:
 
 
 PIECE = 4
+#: 64-bit words of the filter that says which pieces no needle has.
+FILTER_WORDS = 1 << 14
 
 
-def hay_pieces(hay: DataFrame, hay_col: str, keys: Sequence[str]) -> DataFrame:
-    """Narrow rows (keys, _hay, _key): the distinct runs of one to four characters of each text, which its hash names."""
-    runs = F.concat(*[pieces(F.col(hay_col), n) for n in range(1, PIECE + 1)])
-    return hay.select(*keys, F.xxhash64(hay_col).alias("_hay"), F.explode(runs).alias("_key"))
+def _places(piece: Column) -> list[tuple[Column, Column]]:
+    """(word, bit) of the two filter bits of a piece."""
+    h = F.xxhash64(piece)
+    return [(F.shiftright(h, shift).bitwiseAND(F.lit(FILTER_WORDS - 1)).cast("int"), F.shiftright(h, shift + 16).bitwiseAND(F.lit(63)).cast("int")) for shift in (0, 32)]
 
 
-def rarest_pieces(held: DataFrame, needles: DataFrame, needle_col: str, keys: Sequence[str]) -> DataFrame:
-    """(keys, needle, _key): of each distinct needle's pieces the one that fewest texts hold; a short needle is its own."""
+def _bit(place: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("long"), place)
+
+
+def offered_pieces(needles: DataFrame, needle_col: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, needle, _key): the pieces of each distinct needle; a short needle is its own."""
     once = needles.select(*keys, needle_col).where(F.length(needle_col) > 0).distinct()
     own = F.when(F.length(needle_col) < PIECE, F.array(needle_col)).otherwise(pieces(F.col(needle_col), PIECE))
-    offered = once.select(*keys, needle_col, F.explode(own).alias("_key"))
+    return once.select(*keys, needle_col, F.explode(own).alias("_key"))
+
+
+def piece_filter(offered: DataFrame) -> DataFrame:
+    """One row (_bits, _sizes): a Bloom filter of the offered pieces in ``FILTER_WORDS`` words, whatever their number, and their lengths."""
+    spots = F.array(*[F.struct(w.alias("w"), _bit(b).alias("bit")) for w, b in _places(F.col("_key"))])
+    words = offered.select(F.inline(spots)).groupBy("w").agg(F.bit_or("bit").alias("bits"))
+    every = offered.sparkSession.range(FILTER_WORDS).select(F.col("id").cast("int").alias("w"))
+    dense = every.join(words, "w", "left").select(F.struct("w", F.coalesce("bits", F.lit(0).cast("long")).alias("bits")).alias("x"))
+    bits = dense.agg(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["bits"]).alias("_bits"))
+    sizes = offered.agg(F.collect_set(F.length("_key")).alias("_sizes"))
+    return bits.join(F.broadcast(sizes))
+
+
+def hay_pieces(hay: DataFrame, hay_col: str, keys: Sequence[str], wanted: DataFrame) -> DataFrame:
+    """Narrow rows (keys, _hay, _key): the distinct runs of one to four characters of each text, which its hash names.
+
+    Runs that the filter rules out are dropped before they become rows, and lengths that no needle piece has
+    are not cut; so the rows follow the needles' hits, not the texts.
+    """
+    none = F.array().cast("array<string>")
+
+    def hit(piece: Column) -> Column:
+        first, second = [F.get(F.col("_bits"), w).bitwiseAND(_bit(b)) != 0 for w, b in _places(piece)]
+        return first & second
+
+    # ``wanted`` is one row of fixed size.
+    texts = hay.select(*keys, F.col(hay_col).alias("_text")).join(F.broadcast(wanted), F.col("_text").isNotNull())
+    runs = F.concat(*[F.when(F.array_contains("_sizes", n), pieces(F.col("_text"), n)).otherwise(none) for n in range(1, PIECE + 1)])
+    return texts.select(*keys, F.xxhash64("_text").alias("_hay"), F.explode(F.filter(runs, hit)).alias("_key"))
+
+
+def rarest_pieces(held: DataFrame, offered: DataFrame, needle_col: str, keys: Sequence[str]) -> DataFrame:
+    """(keys, needle, _key): of each distinct needle's pieces the one that fewest texts hold."""
     counted = held.join(offered.select(*keys, "_key").distinct(), [*keys, "_key"], "left_semi")
     counted = counted.groupBy(*keys, "_key").agg(F.count(F.lit(1)).alias("_n"))
     rarity = F.struct(F.coalesce("_n", F.lit(0)), F.col("_key"))
@@ -127,13 +166,15 @@ def substring_pairs(
 ) -> DataFrame:
     """(hay row, needle row) pairs where the needle occurs in the hay text; equal on ``keys``.
 
-    A needle meets the texts that hold its rarest piece. Only hashes of texts travel with
+    A needle meets the texts that hold its rarest piece; a Bloom filter of all needles' pieces keeps the other
+    pieces of the texts from becoming rows. Only hashes of texts travel with
     the pieces; each text is fetched once for the exact check, so equal hashes cannot make
     or lose a pair. Null and empty needles and null texts give no pairs; repeated rows on
     either side each give theirs.
     """
-    held = hay_pieces(hay, hay_col, keys)
-    best = rarest_pieces(held, needles, needle_col, keys)
+    offered = offered_pieces(needles, needle_col, keys)
+    held = hay_pieces(hay, hay_col, keys, piece_filter(offered))
+    best = rarest_pieces(held, offered, needle_col, keys)
     likely = held.join(best, [*keys, "_key"]).select(*keys, "_hay", needle_col).distinct()
     texts = hay.withColumn("_hay", F.xxhash64(hay_col)).join(likely, [*keys, "_hay"])
     found = texts.where(F.contains(F.col(hay_col), F.col(needle_col))).drop("_hay")

@@ -138,15 +138,20 @@ def score_files(
     )
 
 
-def cut_candidates(scored: DataFrame, k: int = 20) -> DataFrame:
-    """Top 2k files per goal by score, of those the ones with a component and real evidence, first k."""
+def cut_candidates(scored: DataFrame, k: int = 20, pool: int | None = None, evidence_limit: int | None = None) -> DataFrame:
+    """First k files per goal by score among those with a component and real evidence.
+
+    ``pool`` looks among the first files by score only (2k in an interactive search), ``evidence_limit``
+    keeps the first entries of a file's evidence.
+    """
     keys = [*scope_of(scored), "goal_id"]
-    first = top_per(scored, keys, [F.desc("score"), F.asc("path")], max(1, 2 * k), "_pos")
+    order = [F.desc("score"), F.asc("path")]
+    first = scored if pool is None else top_per(scored, keys, order, max(1, pool)).drop("rank")
     signal = F.exists("evidence", lambda e: e.rlike("^(hint|component|descriptor):"))
     lexical = F.exists("evidence", lambda e: e.rlike("^(path|symbol):"))
     kept = first.where((F.coalesce("component", F.lit("")) != "") & (signal | (lexical & (F.col("score") >= 4))))
-    out = top_per(kept, keys, [F.asc("_pos")], max(1, k)).drop("_pos")
-    return out.withColumn("evidence", F.slice("evidence", 1, 10))
+    out = top_per(kept, keys, order, max(1, k))
+    return out if evidence_limit is None else out.withColumn("evidence", F.slice("evidence", 1, evidence_limit))
 
 
 def component_goal(candidates: DataFrame) -> DataFrame:
@@ -196,13 +201,24 @@ def target_components(ranked: DataFrame, goals: DataFrame, roles: DataFrame, hot
     return chosen.unionByName(spare.select(*keys, "component", "score", "rank", F.lit(4).alias("tier")))
 
 
-def change_batches(targets: DataFrame, evidence: DataFrame, files: DataFrame, hotspots: DataFrame, scores: DataFrame) -> tuple[DataFrame, DataFrame]:
+def change_batches(
+    targets: DataFrame,
+    evidence: DataFrame,
+    files: DataFrame,
+    hotspots: DataFrame,
+    scores: DataFrame,
+    evidence_limit: int | None = None,
+    file_limit: int | None = None,
+    hot_limit: int | None = None,
+    focus_limit: int = 6,
+) -> tuple[DataFrame, DataFrame]:
     """(batches, focus files) for the first three targets per goal.
 
     ``targets``: goal_id, component, rank. ``evidence``: goal_id, component, path, ord.
-    ``files``: component, path, ord. ``hotspots``: path, rank (top 24). ``scores``: component,
+    ``files``: component, path, ord. ``hotspots``: path, rank. ``scores``: component,
     recommendation, critical, layer_role. Focus files come from four sources in turn:
-    evidence that is hot, evidence, component files that are hot, component files.
+    evidence that is hot, evidence, component files that are hot, component files; a batch shows the first
+    ``focus_limit``. ``evidence_limit``, ``file_limit`` and ``hot_limit`` look at the first rows of a source only.
     """
     scope = scope_of(targets, files)
     keys = [*scope, "goal_id", "component"]
@@ -212,21 +228,26 @@ def change_batches(targets: DataFrame, evidence: DataFrame, files: DataFrame, ho
     exposed = F.coalesce("layer_role", F.lit("")).isin("orchestration", "interface_adapter")
     priority = F.when(urgent, "high").when(exposed | (F.col("rank") <= 3), "medium").otherwise("low")
     batches = facts.select(*keys, F.concat(F.lit("B"), F.col("rank")).alias("batch"), priority.alias("priority"))
-    hot = hotspots.where(F.col("rank") <= 24).select(*scope, "path").distinct().withColumn("hot", F.lit(True))
+    hot = hotspots if hot_limit is None else hotspots.where(F.col("rank") <= hot_limit)
+    hot = hot.select(*scope, "path").distinct().withColumn("hot", F.lit(True))
     own = evidence.join(first.select(*keys), keys, "left_semi").select(*keys, "path", "ord")
-    own = top_per(own, keys, [F.asc("ord"), F.asc("path")], 6).drop("rank")
-    listed = top_per(files.select(*scope, "component", "path", "ord"), [*scope, "component"], [F.asc("ord"), F.asc("path")], 24).drop("rank")
+    if evidence_limit is not None:
+        own = top_per(own, keys, [F.asc("ord"), F.asc("path")], evidence_limit).drop("rank")
+    listed = files.select(*scope, "component", "path", "ord").join(first.select(*scope, "component").distinct(), [*scope, "component"], "left_semi")
+    if file_limit is not None:
+        listed = top_per(listed, [*scope, "component"], [F.asc("ord"), F.asc("path")], file_limit).drop("rank")
     listed = first.select(*keys).join(listed, [*scope, "component"])
 
     def source(df: DataFrame, hot_rank: int, cold_rank: int) -> DataFrame:
         marked = df.join(hot, [*scope, "path"], "left")
         entries = F.array_compact(F.array(F.when(F.col("hot"), F.lit(hot_rank)), F.lit(cold_rank)))
         ranked = marked.select(*keys, "path", "ord", F.explode(entries).alias("src"))
-        return top_per(ranked, [*keys, "src"], [F.asc("ord"), F.asc("path")], 12).drop("rank")
+        # Earlier sources hold less than ``focus_limit`` paths where this one counts, so twice as many are enough.
+        return top_per(ranked, [*keys, "src"], [F.asc("ord"), F.asc("path")], 2 * focus_limit).drop("rank")
 
     both = source(own, 0, 1).unionByName(source(listed, 2, 3))
     best = both.groupBy(*keys, "path").agg(F.min(F.struct("src", "ord")).alias("place"))
-    focus = top_per(best, keys, [F.asc("place"), F.asc("path")], 6)
+    focus = top_per(best, keys, [F.asc("place"), F.asc("path")], focus_limit)
     return batches, focus.select(*keys, "path", "rank")
 
 

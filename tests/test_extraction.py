@@ -260,7 +260,7 @@ def test_stream_ledger_keeps_late_rows(spark, tmp_path):
 def test_all_files_of_a_group_move(spark):
     paths = [(f"src/pkg/alpha_{chr(97 + i)}.py",) for i in range(15)] + [("src/pkg/__init__.py",)]
     direct = spark.createDataFrame(paths, "path string")
-    groups = Y.domain_groups(direct, hints={})
+    groups = Y.domain_groups(direct)
     imports = spark.createDataFrame([("src/pkg/alpha_a.py", 1)], "path string, n long")
-    plan = Y.move_plan(Y.placement(direct, imports, hints={}), groups)
+    plan = Y.move_plan(Y.placement(direct, imports), groups)
     assert {r.action: r["count"] for r in plan.groupBy("action").count().collect()} == {"move": 15, "retain": 1}

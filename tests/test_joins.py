@@ -176,3 +176,17 @@ def test_path_needles_spread_over_keys(spark):
     best = M.rarest_pieces(M.hay_pieces(hay, "text", []), need, "needle", [])
     assert best.groupBy("_key").count().agg(F.max("count")).first()[0] <= 20
     assert M.substring_pairs(hay, "text", need, "needle").count() == 200
+
+
+def test_pieces_follow_needles(spark):
+    """Of texts that hold next to nothing of the needles next to nothing becomes a row; short and long needles are found all the same."""
+    rng = random.Random(8)
+    texts = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=800)) for _ in range(40)] + ["xx ÄÖ-needle yy", "Q"]
+    hay = spark.createDataFrame([*enumerate(texts)], "id int, text string")
+    need = spark.createDataFrame([("ÄÖ-n",), ("Q",), ("ÄÖ-needle",), ("",), (None,)], "needle string")
+    offered = M.offered_pieces(need, "needle", [])
+    held = M.hay_pieces(hay, "text", [], M.piece_filter(offered))
+    # Every text has about 800 runs of each length; of the lengths 2 and 3 no needle piece is.
+    assert held.count() <= 2 * offered.select("_key").distinct().count()
+    got = {(r.id, r.needle) for r in M.substring_pairs(hay, "text", need, "needle").collect()}
+    assert got == {(40, "ÄÖ-n"), (40, "ÄÖ-needle"), (41, "Q")}

@@ -1,7 +1,16 @@
 """A whole incremental review on a small tree."""
 
+import random
+
+from pyspark.sql import functions as F
+
+from codevigil.common import global_rank
+from codevigil.functions import paths as P
 from codevigil.operators import cleanup, contracts
+from codevigil.operators import hotspots as H
 from codevigil.operators import review as R
+from codevigil.operators import search as Q
+from codevigil.operators import topology as topology_of
 from codevigil.plans.review import incremental_review
 from codevigil.sources import extract as B
 from tests.test_extraction import LOOP
@@ -41,11 +50,66 @@ def test_concerns_of_all_items(spark):
     assert seen(R.hotspot_concerns(ranked)) == paths and len(seen(R.hotspot_concerns(ranked, 8))) == 8
     topology = frame([("src", True, 30)], "source_root string, needs_folders boolean, flat_files int")
     plan = frame([(p, "move" if i < 10 else "review", "f", p + "x") for i, p in enumerate(paths[:20])], "path string, action string, folder string, target string")
-    groups = frame([(f"g{p}", 6, [p, p + "b", p + "c", p + "d"]) for p in paths[20:]], "group_id string, file_count int, candidate_files array<string>")
-    assert seen(R.topology_concerns(topology, plan, groups)) == sorted(paths + [p + s for p in paths[20:] for s in "bcd"])
+    names = [f"src/pkg/big_{i:02}.py" for i in range(20)] + [f"src/pkg/g{i}_{x}.py" for i in range(10) for x in "ab"] + ["src/pkg/alone.py"]
+    direct = frame([(p,) for p in names], "path string")
+    groups, members = topology_of.domain_groups(direct), topology_of.group_members(direct)
+    assert groups.count() == 11 and max(len(r.candidate_files) for r in groups.collect()) == 12
+    assert seen(R.topology_concerns(topology, plan, groups, members)) == sorted(paths[:20] + names[:-1])
+    assert len(seen(R.topology_concerns(topology, plan.limit(0), groups, members, limit=1, group_files=3))) == 3
+    long = frame([("src/x.py", "temp", "file", 0.5, list("abcdefg"))], "path string, category string, kind string, confidence double, evidence array<string>")
+    assert len(R.cleanup_concerns(long).first().evidence) == 9 and len(R.cleanup_concerns(long, evidence_limit=4).first().evidence) == 6
     changed = frame([(i, f"c{i}", [f"src/core/{i}.py"] + ["legacy/a.py"] * (i > 10)) for i in range(30)], "ord int, component string, changed_files array<string>")
     assert {r.ord for r in cleanup.transient_changes(changed).collect()} == set(range(11, 30))
     one = frame([("src/none.py",)], "path string")
     planned = frame([(p,) for p in paths], "path string")
     rows = contracts.plan_paths(one, planned, planned.selectExpr("path AS test_path").limit(0), planned.limit(0))
     assert set(seen(rows)) >= set(paths)
+
+
+def test_hotspots_all_ranked(spark):
+    """Every hotspot has its rank; 25 asked for are 25; no window without keys."""
+    rows = [(f"src/f{i:03}.py", float(i * 7 % 90), i % 4, i % 5, 0) for i in range(60)]
+    spots = spark.createDataFrame(rows, "path string, score double, critical long, warning long, info long")
+    every = {r.path: r.rank for r in H.rank_hotspots(spots, None).collect()}
+    assert sorted(every.values()) == list(range(1, 61))
+    first = {r.path: r.rank for r in H.rank_hotspots(spots, 25).collect()}
+    assert len(first) == 25 and all(every[p] == n for p, n in first.items())
+
+
+def test_global_rank(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.randrange(20), i) for i in range(700)]
+    df = spark.createDataFrame(rows, "repo string, v int, id int").repartition(7)
+    for scope in ([], ["repo"]):
+        got = {r.id: r.rank for r in global_rank(df, scope, [F.desc("v"), F.asc("id")]).collect()}
+        want = {}
+        for key in {r[0] for r in rows} if scope else [None]:
+            own = sorted((r for r in rows if not scope or r[0] == key), key=lambda r: (-r[1], r[2]))
+            want.update({r[2]: n for n, r in enumerate(own, 1)})
+        assert got == {i: n for i, n in want.items() if not scope or rows[i][0] is not None}
+    plan = global_rank(df, [], [F.asc("id")])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window [" in plan and "Window [row_number() windowspecdefinition(id" not in plan
+    assert global_rank(df.limit(0), ["repo"], [F.asc("id")]).count() == 0
+
+
+def test_candidates_and_batches_uncut(spark):
+    """Weak files that score high do not keep others out; hot files are preferred wherever they stand in a list."""
+    rows = [("g", f"a{i:03}.py", "c", 100 - i % 3, ["weak"]) for i in range(60)] + [("g", f"z{i:02}.py", "c", 5, ["path:x"]) for i in range(25)]
+    scored = spark.createDataFrame(rows, "goal_id string, path string, component string, score int, evidence array<string>")
+    assert Q.cut_candidates(scored).count() == 20 and Q.cut_candidates(scored, pool=40).count() == 0
+    targets = spark.createDataFrame([("g", "c", 1)], "goal_id string, component string, rank int")
+    listed = [(f"f{i:03}.py", i) for i in range(40)]
+    evidence = spark.createDataFrame([("g", "c", p, i) for p, i in listed[:10]], "goal_id string, component string, path string, ord int")
+    files = spark.createDataFrame([("c", p, i) for p, i in listed], "component string, path string, ord int")
+    hot = spark.createDataFrame([(p, i + 1) for i, p in enumerate([f"x{i}.py" for i in range(30)] + ["f009.py", "f039.py"])], "path string, rank int")
+    scores = spark.createDataFrame([("c", "approve", 0, "")], "component string, recommendation string, critical int, layer_role string")
+    focus = [r.path for r in Q.change_batches(targets, evidence, files, hot, scores)[1].orderBy("rank").collect()]
+    assert focus == ["f009.py", "f000.py", "f001.py", "f002.py", "f003.py", "f004.py"]
+    focus = [r.path for r in Q.change_batches(targets, evidence.limit(0), files, hot, scores)[1].orderBy("rank").collect()]
+    assert focus[:2] == ["f009.py", "f039.py"] and len(focus) == 6
+
+
+def test_php_tag_anywhere(spark):
+    text = "\n".join(f"line {i}" for i in range(20)) + "\n<?php echo 1;"
+    row = spark.createDataFrame([(text,)], "t string").select(P.code_likeness(F.col("t")), P.code_likeness(F.col("t"), php_lines=8)).first()
+    assert row[0] and not row[1]
