@@ -58,9 +58,8 @@ def stream_trend(t):
 def stream_registry(t):
     work = _workspace(t, "registry")
     rows = runs(t).select("component", "run", "score")
-    years = F.year("run")
-    drop = F.when(years < 1998, 0).when(years < 2000, 1).otherwise(2)
-    in_drops(t, rows, drop, work, lambda s: J.stream_registry(s, f"{work}/state", f"{work}/checkpoint"))
+    late = F.month("run") % 3  # every drop brings runs that lie before those of earlier drops
+    in_drops(t, rows, late, work, lambda s: J.stream_registry(s, f"{work}/state", f"{work}/checkpoint"))
     state = J.latest_rows(t.spark, f"{work}/state", ["component"])
     points = F.size(F.from_json("history", "array<array<string>>"))
     return state.select("component", "last_score", "trend", points.alias("points"))
@@ -75,7 +74,7 @@ def stream_extraction(t):
     work = _workspace(t, "extract")
     files = sources(t).select("path", "text", F.length("text").cast("long").alias("bytes"), F.lit(1).cast("long").alias("mtime"), "drop", "words")
     again = files.unionByName(files.where("drop = 0").withColumn("drop", F.lit(1)))
-    in_drops(t, again, F.col("drop"), work, lambda s: J.stream_extract(s, B.raw_imports, f"{work}/out", f"{work}/checkpoint"))
+    in_drops(t, again, F.col("drop"), work, lambda s: J.stream_extract(s, B.raw_imports, f"{work}/out", f"{work}/checkpoint", buckets=8, fan=2))
     rows = J.current_rows(t.spark, f"{work}/out")
     seen = rows.select("path").distinct().join(files.select("path", "words"), "path")
     return seen.agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("words") > 0).alias("with_words"))
@@ -93,7 +92,7 @@ def stream_duplicates(t):
     rows = t.v_files.select(
         "path", F.lit(1).alias("line"), F.concat(F.lit("doc_"), "doc_id").alias("symbol"), F.sha2(low, 256).alias("fingerprint"), F.col("bytes").cast("int").alias("node_count"), "doc_id"
     )
-    in_drops(t, rows, F.col("doc_id") % 3, work, lambda s: J.stream_duplicates(s, f"{work}/out", f"{work}/checkpoint"))
+    in_drops(t, rows, F.col("doc_id") % 3, work, lambda s: J.stream_duplicates(s, f"{work}/out", f"{work}/checkpoint", buckets=8, fan=2))
     found = t.spark.read.parquet(f"{work}/out/concerns")
     return found.select("path", F.col("references")[0]["path"].alias("reference"))
 

@@ -12,14 +12,13 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from ..common import scope_of, top_per, with_defaults
 from ..operators.duplicates import near_duplicates
 from ..sources.events import month_key
 from ..sources.extract import incremental_extract
+from .index import BUCKETS, FAN, LevelIndex, newest
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -28,17 +27,6 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
 
 
-def _parts_before(spark: SparkSession, directory: str, batch_id: int) -> list[str]:
-    """Part folders of earlier batches; file names only, no data."""
-    if not _exists(spark, directory):
-        return []
-    target = spark._jvm.org.apache.hadoop.fs.Path(directory)
-    status = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
-    names = [s.getPath().getName() for s in status]
-    ids = sorted(int(n.split("=")[1]) for n in names if n.startswith("part_id="))
-    return [f"{directory}/part_id={i}" for i in ids if i < batch_id]
-
-
 def stream_ledger(events: DataFrame, directory: str, checkpoint: str, id_col: str | None = None) -> StreamingQuery:
     """Append review events to a month-partitioned ledger.
 
@@ -128,81 +116,97 @@ def stream_trend(events: DataFrame, directory: str, checkpoint: str) -> Streamin
 
 # --- registry -----------------------------------------------------------------------
 
+#: Points of a component that are kept and shown.
 KEEP = 20
-_REGISTRY_OUT = "last_score double, trend string, history string"
-_REGISTRY_STATE = "last_score double, history string"
-
-
-def _registry_step(names: list[str], key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Next state of one component: points in run order, the last 20 kept, trend of the last step."""
-    score, history = state.get if state.exists else (None, "[]")
-    # Only the last points of the batch can be kept; the step before them sets the trend.
-    recent: list[tuple[str, float]] = []
-    for frame in frames:
-        recent += list(zip(frame["run"].astype(str), frame["score"]))
-        recent = sorted(recent)[-(KEEP + 1) :]
-    points = [*map(tuple, json.loads(history)), *recent]
-    before = points[-2][1] if len(points) > 1 else points[-1][1]
-    score = points[-1][1]
-    trend = "up" if score > before + 1.0 else "down" if score < before - 1.0 else "flat"
-    text = json.dumps(points[-KEEP:])
-    state.update((score, text))
-    place = {name: [value] for name, value in zip(names, key)}
-    yield pd.DataFrame({**place, "last_score": [score], "trend": [trend], "history": [text]})
-
-
-def stream_registry(scores: DataFrame, directory: str, checkpoint: str) -> StreamingQuery:
-    """Last score, trend and last points per component of a repo and snapshot, carried from batch to batch.
-
-    ``scores``: component, run, score.
+_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+class _Registry(StatefulProcessor):
+    """The last points of a component as list state in run order; a late run takes its place among them."""
+
+    def __init__(self, names: list[str], ttl_ms: int | None):
+        self.names, self.ttl_ms = names, ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.points = handle.getListState("points", "run timestamp, score double", self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        points = [(pd.Timestamp(run), score) for run, score in self.points.get()]
+        for frame in rows:
+            points += [(pd.Timestamp(run), float(score)) for run, score in zip(frame["run"], frame["score"])]
+            points = sorted(dict(sorted(points)).items())[-KEEP:]  # of several scores of a run the highest stays
+        self.points.put([(run.to_pydatetime(), score) for run, score in points])
+        score = points[-1][1]
+        before = points[-2][1] if len(points) > 1 else score
+        trend = "up" if score > before + 1.0 else "down" if score < before - 1.0 else "flat"
+        place = {name: [value] for name, value in zip(self.names, key)}
+        yield pd.DataFrame({**place, "last_score": [score], "trend": [trend], "history": [json.dumps([(str(run), s) for run, s in points])]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_registry(scores: DataFrame, directory: str, checkpoint: str, ttl_ms: int | None = None) -> StreamingQuery:
+    """Last score, trend and last ``KEEP`` points per component of a repo and snapshot, carried from batch to batch.
+
+    ``scores``: component, run, score. Points stand in the order of their runs whenever they come: a run
+    that comes late takes its place, and is forgotten only if ``KEEP`` later ones are known. Of scores
+    for one run the highest counts. Scores without run or value are no points. With ``ttl_ms`` points
+    are dropped that long after the component's last update; a run of the stream is then one batch, since with
+    state that expires Spark would go on looking for expired rows.
     """
     keys = [*scope_of(scores), "component"]
-    rows = scores.select(*keys, F.col("run").cast("timestamp").alias("run"), F.col("score").cast("double").alias("score"))
+    rows = scores.select(*keys, F.col("run").cast("timestamp").alias("run"), F.col("score").cast("double").alias("score")).where("run is not null and score is not null")
     place = ", ".join(f"{k} {rows.schema[k].dataType.simpleString()}" for k in keys)
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        return _registry_step(keys, key, frames, state)
-
-    state = rows.groupBy(*keys).applyInPandasWithState(
-        step, f"{place}, {_REGISTRY_OUT}", _REGISTRY_STATE, "update", GroupStateTimeout.NoTimeout
-    )
-    return (
-        state.writeStream.outputMode("update")
-        .option("checkpointLocation", checkpoint)
-        .foreachBatch(_write_part(directory))
-        .trigger(availableNow=True)
-        .start()
-    )
+    out = f"{place}, last_score double, trend string, history string"
+    state = rows.groupBy(*keys).transformWithStateInPandas(_Registry(keys, ttl_ms), out, "update", "ProcessingTime" if ttl_ms else "None")
+    conf = scores.sparkSession.conf
+    before = conf.get(_PROVIDER, None)
+    conf.set(_PROVIDER, _ROCKS)  # list state needs this store; a query keeps the one that it started with
+    try:
+        return (
+            state.writeStream.outputMode("update")
+            .option("checkpointLocation", checkpoint)
+            .foreachBatch(_write_part(directory))
+            .trigger(**({"once": True} if ttl_ms else {"availableNow": True}))
+            .start()
+        )
+    finally:
+        conf.unset(_PROVIDER) if before is None else conf.set(_PROVIDER, before)
 
 
 # --- extraction and duplicates ----------------------------------------------------------
 
 
 def stream_extract(
-    files: DataFrame, extract: Callable[[DataFrame], DataFrame], directory: str, checkpoint: str, version: int = 1
+    files: DataFrame,
+    extract: Callable[[DataFrame], DataFrame],
+    directory: str,
+    checkpoint: str,
+    version: int = 1,
+    buckets: int = BUCKETS,
+    fan: int = FAN,
 ) -> StreamingQuery:
     """Extract files (path, text, bytes, mtime) once; a file that comes again is extracted only if it changed.
 
-    Parts hold the rows and marks of the files a batch extracted. The current rows of a
-    path are those of its last part (``current_rows``). A path belongs to its repo and
-    snapshot. Of versions with one time in one batch the longer stays, then the one of larger hash.
+    Parts hold the rows of the files a batch extracted; the marks of files lie in an index by path,
+    of which a batch reads the buckets of its own paths. The current rows of a path are those of its
+    last part (``current_rows``). A path belongs to its repo and snapshot. Of versions with one time
+    in one batch the longer stays, then the one of larger hash.
     """
     key = [*scope_of(files), "path"]
+    mark = files.select(*key, "bytes", "mtime").withColumn("version", F.lit(version)).schema
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        earlier = _parts_before(spark, f"{directory}/manifest", batch_id)
-        newest = F.max_by(F.struct("text", "bytes", "mtime"), F.struct("mtime", "bytes", F.xxhash64("text")))
-        last = batch.groupBy(*key).agg(newest.alias("f")).select(*key, "f.*")
-        fresh = last
-        if earlier:
-            seen = spark.read.parquet(*earlier).groupBy(*key).agg(F.max_by(F.struct("bytes", "mtime", "version"), "part_no").alias("m"))
-            seen = seen.select(*key, "m.*").where(F.col("version") == version)
-            fresh = last.join(seen, [*key, "bytes", "mtime"], "left_anti")
+        index = LevelIndex(batch.sparkSession, f"{directory}/manifest", mark, key, buckets, fan)
+        latest = F.max_by(F.struct("text", "bytes", "mtime"), F.struct("mtime", "bytes", F.xxhash64("text")))
+        last = batch.groupBy(*key).agg(latest.alias("f")).select(*key, "f.*")
+        seen = newest(key)(index.lookup(last, batch_id)).where(F.col("version") == version)
+        fresh = last.join(seen, [*key, "bytes", "mtime"], "left_anti")
         rows, manifest, _ = incremental_extract(fresh, extract, None, None, version)
-        number = F.lit(batch_id).alias("part_no")
-        rows.select("*", number).write.mode("overwrite").parquet(f"{directory}/rows/part_id={batch_id}")
-        manifest.select("*", number).write.mode("overwrite").parquet(f"{directory}/manifest/part_id={batch_id}")
+        rows.select("*", F.lit(batch_id).cast("long").alias("part_no")).write.mode("overwrite").parquet(f"{directory}/rows/part_id={batch_id}")
+        index.add(manifest, batch_id, newest(key))
 
     return (
         files.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step).trigger(availableNow=True).start()
@@ -211,42 +215,44 @@ def stream_extract(
 
 def current_rows(spark: SparkSession, directory: str) -> DataFrame:
     """Rows of the last extraction of every path."""
-    manifest = spark.read.parquet(f"{directory}/manifest")
-    key = [*scope_of(manifest), "path"]
-    manifest = manifest.groupBy(*key).agg(F.max("part_no").alias("part_no"))
-    return spark.read.parquet(f"{directory}/rows").join(manifest, [*key, "part_no"], "left_semi").drop("part_no", "part_id")
+    index = LevelIndex.stored(spark, f"{directory}/manifest")
+    last = index.rows().groupBy(*index.keys).agg(F.max("part_no").alias("part_no"))
+    return spark.read.parquet(f"{directory}/rows").join(last, [*index.keys, "part_no"], "left_semi").drop("part_no", "part_id")
 
 
 FUNCTION_FIELDS = ["path", "line", "symbol", "fingerprint", "node_count", "thin_wrapper_call"]
 
 
-def stream_duplicates(functions: DataFrame, directory: str, checkpoint: str) -> StreamingQuery:
+def stream_duplicates(functions: DataFrame, directory: str, checkpoint: str, buckets: int = BUCKETS, fan: int = FAN) -> StreamingQuery:
     """Match each batch of functions with the stored index, write its concerns, then add it to the index.
 
-    The batch is the change scope. Only the index rows of the batch's fingerprints take part,
-    and of a path only the functions of the last batch that brought it.
+    The batch is the change scope. The index lies in buckets by fingerprint, with a second one by
+    path that knows the last batch of every path: of a path only the functions of that batch count.
+    A batch reads the buckets of its fingerprints, and those of the paths it finds there.
     """
     scope = scope_of(functions)
     shaped = with_defaults(functions, thin_wrapper_call=("string", "")).select(*scope, *FUNCTION_FIELDS)
-    indexed = T.StructType([*shaped.schema.fields, T.StructField("part_no", T.IntegerType())])
+    path = [*scope, "path"]
+    schema, path_schema = shaped.schema, shaped.select(*path).schema
 
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        rows, index = batch, batch
-        earlier = _parts_before(spark, f"{directory}/index", batch_id)
-        if earlier:
-            stored = spark.read.schema(indexed).parquet(*earlier)
-            touched = rows.select(*scope, "fingerprint").distinct()
-            fresh_paths = rows.select(*scope, "path").distinct()
-            # A path that comes again replaces its earlier functions.
-            known = stored.join(touched, [*scope, "fingerprint"], "left_semi").join(fresh_paths, [*scope, "path"], "left_anti")
-            last = stored.join(known.select(*scope, "path").distinct(), [*scope, "path"], "left_semi")
-            last = last.groupBy(*scope, "path").agg(F.max("part_no").alias("part_no"))
-            known = known.join(last, [*scope, "path", "part_no"], "left_semi").drop("part_no")
-            index = rows.unionByName(known)
-        concerns = near_duplicates(index, rows.select(*scope, "path").distinct())
+        index = LevelIndex(spark, f"{directory}/index", schema, [*scope, "fingerprint"], buckets, fan)
+        paths = LevelIndex(spark, f"{directory}/paths", path_schema, path, buckets, fan)
+        fresh = batch.select(*path).distinct()
+        # A path that comes again replaces its earlier functions.
+        known = index.lookup(batch, batch_id).join(fresh, path, "left_anti")
+        last = paths.lookup(known.select(*path), batch_id).groupBy(*path).agg(F.max("part_no").alias("part_no"))
+        known = known.join(last, [*path, "part_no"], "left_semi").drop("part_no")
+        concerns = near_duplicates(batch.unionByName(known), fresh)
         concerns.write.mode("overwrite").parquet(f"{directory}/concerns/part_id={batch_id}")
-        rows.withColumn("part_no", F.lit(batch_id).cast("int")).write.mode("overwrite").parquet(f"{directory}/index/part_id={batch_id}")
+        paths.add(fresh, batch_id, lambda rows: rows.groupBy(*path).agg(F.max("part_no").alias("part_no")))
+
+        def current(rows: DataFrame) -> DataFrame:
+            last = paths.rows(batch_id + 1).groupBy(*path).agg(F.max("part_no").alias("part_no"))
+            return rows.join(last, [*path, "part_no"], "left_semi").select(rows.columns)
+
+        index.add(batch, batch_id, current)
 
     return (
         shaped.writeStream.option("checkpointLocation", checkpoint).foreachBatch(step).trigger(availableNow=True).start()
