@@ -46,39 +46,44 @@ class Sketches:
 
     def __init__(self, items: list[tuple[int, str]], k: int, num: int, den: int):
         self.ids, self.sets, self.needs = [], [], []
-        partitions: dict[int, list[int]] = {}
         for row, elements in shingle_sets(pa.array([t for _, t in items], pa.string()), k):
             if len(elements):
-                partitions.setdefault(len(elements).bit_length(), []).append(len(self.ids))
                 self.ids.append(items[row][0])
                 self.sets.append(elements)
                 self.needs.append(-(-num * len(elements) // den))
-        self.partitions = []
+        shingle, owner = [], []
         with np.errstate(over="ignore"):
-            for members in partitions.values():
-                shingle, owner = [], []
-                for i in members:
-                    spare = len(self.sets[i]) - self.needs[i]
-                    least = np.argsort(mix(self.sets[i]))[: spare + 1]
-                    shingle.append(self.sets[i][least])
-                    owner.append(np.full(spare + 1, i))
-                shingle, owner = np.concatenate(shingle), np.concatenate(owner)
-                order = np.argsort(shingle, kind="stable")
-                self.partitions.append((min(self.needs[i] for i in members), shingle[order], owner[order]))
+            for i, own in enumerate(self.sets):
+                least = np.argsort(mix(own))[: len(own) - self.needs[i] + 1]
+                shingle.append(own[least])
+                owner.append(np.full(len(least), i))
+        shingle, owner = (np.concatenate(x) if x else np.zeros(0, np.uint64) for x in (shingle, owner))
+        order = np.argsort(shingle, kind="stable")
+        # The sketches of all size partitions as one index: a shingle, and where its items begin among the owners.
+        self.owner = owner[order]
+        self.shingle, self.first = np.unique(shingle[order], return_index=True)
+        self.first = np.append(self.first, len(order))
+        self.least = np.array([1 << (n.bit_length() - 1) for n in self.needs], np.int64)
 
     def contained(self, elements: np.ndarray):
-        """(item, shared shingles) of the items a document with these shingles contains."""
-        for least, shingle, owner in self.partitions:
-            if len(elements) < least:
-                continue
-            at = np.searchsorted(elements, shingle)
-            hit = elements[np.minimum(at, len(elements) - 1)] == shingle
-            for i in np.unique(owner[hit]):
-                own = self.sets[i]
-                at = np.searchsorted(elements, own)
-                shared = int((elements[np.minimum(at, len(elements) - 1)] == own).sum())
-                if shared >= self.needs[i]:
-                    yield int(i), shared
+        """(item, shared shingles) of the items a document with these shingles contains.
+
+        The document's shingles are looked up in the index, so the time follows the document, not the items.
+        """
+        if not len(self.shingle):
+            return
+        at = np.minimum(np.searchsorted(self.shingle, elements), len(self.shingle) - 1)
+        at = at[self.shingle[at] == elements]
+        sizes = self.first[at + 1] - self.first[at]
+        place = np.repeat(self.first[at] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        candidates = np.unique(self.owner[place])
+        # A document asks only the size partitions whose smallest need its own number of shingles can meet.
+        for i in candidates[self.least[candidates] <= len(elements)]:
+            own = self.sets[i]
+            found = np.searchsorted(elements, own)
+            shared = int((elements[np.minimum(found, len(elements) - 1)] == own).sum())
+            if shared >= self.needs[i]:
+                yield int(i), shared
 
 
 def _wanted(items: DataFrame) -> DataFrame:
