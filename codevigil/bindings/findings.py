@@ -233,10 +233,10 @@ RANKED = f"""WITH spots AS ({SPOTS}),
     "hotspot_ranking",
     RANKED
     + """ SELECT path, critical, warning, score AS hotspot_score, CAST(bonus AS DOUBLE) AS metric_bonus, rank_score, dominant_metric,
-      CASE dominant_metric WHEN 'module_lines' THEN 'Split oversized module into focused submodules with explicit ownership boundaries.'
-        WHEN 'cyclomatic_complexity' THEN 'Extract high-branch paths into helpers and flatten decision logic.'
-        WHEN 'class_public_methods' THEN 'Reduce class surface area: split responsibilities into cohesive collaborators.'
-        ELSE 'Refactor dense statements into named helpers to improve readability and reviewability.' END AS fix_hint,
+      CASE dominant_metric WHEN 'module_lines' THEN 'Too long: cut the file along its topics, one module each.'
+        WHEN 'cyclomatic_complexity' THEN 'Too many branches: name the cases and give each a function.'
+        WHEN 'class_public_methods' THEN 'Too wide a class: let parts of it become classes.'
+        ELSE 'Long lines: give the pieces of the statement names.' END AS fix_hint,
       CAST(row_number() OVER (ORDER BY rank_score DESC, path) AS INT) AS rank
     FROM rk ORDER BY rank_score DESC, path LIMIT 20""",
 )

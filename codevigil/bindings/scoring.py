@@ -274,8 +274,8 @@ def structure_score(t):
     cr AS (SELECT component, {CRITICAL} AS critical, {r2(f"sum({POINTS}) / 100.0")} AS risk, count(DISTINCT path) AS files FROM v_find GROUP BY component),
     ck AS (SELECT *, row_number() OVER (ORDER BY risk DESC, component) AS rank FROM cr)
     SELECT 'P' || CAST(least(2, rank - 1) AS VARCHAR) AS priority, path AS title, '' AS target, 1 AS block, CAST(rank AS INT) AS pos FROM hr WHERE rank <= 3
-    UNION ALL SELECT 'P1', 'Stabilize ' || component, component, 2, CAST(rank AS INT) FROM ck WHERE rank <= 1
-    UNION ALL SELECT 'P0', 'Keep goal-driven changes inside existing ownership boundaries', 'goal', 0, 1""",
+    UNION ALL SELECT 'P1', 'Settle ' || component, component, 2, CAST(rank AS INT) FROM ck WHERE rank <= 1
+    UNION ALL SELECT 'P0', 'Reach the goal within the components that own its files', 'goal', 0, 1""",
 )
 def action_recommendations(t):
     ranked = H.rank_hotspots(E.hotspots(t.v_find, top_n=None), 8)

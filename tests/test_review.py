@@ -113,3 +113,38 @@ def test_php_tag_anywhere(spark):
     text = "\n".join(f"line {i}" for i in range(20)) + "\n<?php echo 1;"
     row = spark.createDataFrame([(text,)], "t string").select(P.code_likeness(F.col("t")), P.code_likeness(F.col("t"), php_lines=8)).first()
     assert row[0] and not row[1]
+
+
+def test_advice_by_counterpart_rule_and_compatibility(spark):
+    """Class and function, known and unknown counterpart, the rule's note, compatibility words, no evidence."""
+    schema = (
+        "concern_id string, kind string, path string, location struct<path:string,line:int,symbol:string,symbol_kind:string>, "
+        "evidence array<string>, references array<struct<role:string,path:string,line:int,symbol:string,symbol_kind:string>>"
+    )
+    there = [("existing_implementation", "src/old.py", 4, "Old", "class")]
+    place = lambda p, kind: (p, 3, "New", kind)
+    rows = [
+        ("class", "shadow-implementation", "src/new.py", place("src/new.py", "class"), ["a=b"], there),
+        ("compat", "shadow-implementation", "src/legacy/new.py", place("src/legacy/new.py", "function"), ["a=b"], there),
+        ("alone", "duplication", "src/new.py", place("src/new.py", "function"), [], None),
+        ("named", "duplication", "src/new.py", place("src/new.py", "function"), ["near_duplicate.reference=src/x.py:1"], None),
+        ("rule", "architecture-contract", "src/a.py", place("src/a.py", "module"), ["architecture_contract.rule_id=r1", "architecture_contract.import=app.db", "architecture_contract.note=use the store"], None),
+        ("bare", "hotspot", "src/a.py", place("src/a.py", "module"), [], None),
+        ("other", "unheard-of", "", place("", "module"), ["a=b"], None),
+    ]
+    got = {r.concern: r for r in R.fix_advice(spark.createDataFrame(rows, schema)).collect()}
+    assert "class src/new.py:3:New next to src/old.py:4:Old" in got["class"].options[0] and len(got["class"].options) == 3 and got["class"].tradeoffs
+    assert R.COMPAT_RISK in got["compat"].risks and len(got["compat"].options) == 4 and "function" in got["compat"].options[0]
+    assert "Find its counterpart" in got["alone"].options[1] and "src/x.py:1" in got["named"].options[0]
+    assert "app.db" in got["rule"].options[0] and "rule r1" in got["rule"].options[0] and got["rule"].options[-1] == "The rule says: use the store"
+    assert got["bare"].options == [R.NO_EVIDENCE] and got["bare"].risks == [] and "this concern" in got["other"].options[0]
+
+
+def test_contract_concerns_carry_rule(spark):
+    rules = spark.createDataFrame([("r1", "src/app/*", ["app.db"], "core", "use the store"), ("r2", "src/app/*", ["app.net"], "", None)], "rule_id string, source_glob string, restricted_imports array<string>, owner string, note string")
+    imports = spark.createDataFrame([("src/app/a.py", "app.db", 3), ("src/app/a.py", "app.net.x", 4)], "path string, module string, line int")
+    changes = spark.createDataFrame([("src/app/a.py",)], "path string")
+    got = {r.location.line: r for r in contracts.contract_concerns(contracts.contract_violations(imports, rules, changes)).collect()}
+    fact = lambda k, v: f"architecture_contract.{k}={v}"
+    assert got[3].evidence == [fact("rule_id", "r1"), fact("import", "app.db"), fact("restricted_import", "app.db"), fact("source_glob", "src/app/*"), fact("owner", "core"), fact("note", "use the store")]
+    assert got[3].next_steps_hint == "use the store" and got[4].evidence[-1] == fact("source_glob", "src/app/*") and "may import" in got[4].next_steps_hint
