@@ -56,20 +56,22 @@ def component_graph(
     paths that are noise (tests, docs, fixtures, generated, hidden, infra).
     """
     scope = scope_of(edges)
-    rows = edges.withColumn("dst_path", norm_path(F.col("dst_path"))).where(
+    pair = [*scope, "src_component", "dst_component"]
+    rows = edges.where(
         (F.coalesce("src_component", F.lit("")) != "")
         & (F.coalesce("dst_component", F.lit("")) != "")
         & (F.col("src_component") != F.col("dst_component"))
         & ~F.col("dst_component").endswith(":tests")
         & ~F.col("dst_component").startswith("tmp_")
-        & (F.col("dst_path") != "")
-        & ~is_noise_path(F.col("dst_path"))
     )
-    for prefix in excluded_prefixes:
-        rows = rows.where(~F.col("dst_path").startswith(prefix))
-    pair = [*scope, "src_component", "dst_component"]
     weight = F.greatest(F.lit(1), F.coalesce(F.col("weight"), F.lit(1)))
-    per_path = rows.groupBy(*pair, "dst_path").agg(F.sum(weight).alias("weight"))
+    summed = rows.groupBy(*pair, F.col("dst_path").alias("raw")).agg(F.sum(weight).alias("weight"))
+    # What a path is is asked once per distinct path, not once per edge.
+    clean = norm_path(F.col("raw"))
+    known = summed.select("raw").distinct().select("raw", clean.alias("dst_path")).where((F.col("dst_path") != "") & ~is_noise_path(F.col("dst_path")))
+    for prefix in excluded_prefixes:
+        known = known.where(~F.col("dst_path").startswith(prefix))
+    per_path = summed.join(known, "raw").groupBy(*pair, "dst_path").agg(F.sum("weight").alias("weight"))
     totals = per_path.groupBy(*pair).agg(F.sum("weight").alias("weight"))
     heavy = top_per(per_path, pair, [F.desc("weight"), F.asc("dst_path")], path_limit)
     paths = heavy.groupBy(*pair).agg(ordered_list(F.col("dst_path"), F.col("rank")).alias("target_paths"))
