@@ -139,16 +139,21 @@ def _repeats(table):
     return repeats.without_repeats(table("documents"), 200).drop("kept")
 
 
+_SUFFIXES = "[" + ", ".join(f"'{s}'" for s in urls.SUFFIXES) + "]"
+
+
 @query(
     "op8_url_filter",
-    r"""
+    rf"""
 WITH cut AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END rest FROM pages),
 t AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') host,
              regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) path FROM cut),
 marked AS (SELECT doc_id page_id, (avg(CASE WHEN quality = 1 AND coalesce(toxic, 0) = 0 THEN 1.0 ELSE 0.0 END) >= 0.5)::INT good
            FROM labels WHERE doc_id IS NOT NULL AND quality IS NOT NULL GROUP BY 1),
-h AS (SELECT host, split_part(host, '.', -1) suffix, array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') domain,
-             count(good) n, coalesce(sum(good), 0) good FROM t LEFT JOIN marked USING (page_id) GROUP BY host),
+b AS (SELECT host, regexp_replace(regexp_extract(host, '[^@]*$'), ':[0-9]*$', '') bare, count(good) n, coalesce(sum(good), 0) good FROM t LEFT JOIN marked USING (page_id) GROUP BY host),
+l AS (SELECT *, string_split(bare, '.') ps, regexp_matches(bare, '^[0-9]+(\.[0-9]+){{3}}$') addr, list_contains({_SUFFIXES}, array_to_string(list_slice(string_split(bare, '.'), -2, -1), '.')) long FROM b),
+h AS (SELECT host, CASE WHEN addr THEN 'address' WHEN long THEN array_to_string(list_slice(ps, -2, -1), '.') ELSE ps[-1] END suffix,
+             CASE WHEN addr THEN bare WHEN long THEN array_to_string(list_slice(ps, -3, -1), '.') ELSE array_to_string(list_slice(ps, -2, -1), '.') END domain, n, good FROM l),
 d AS (SELECT suffix, domain, sum(n) n, sum(good) good FROM h GROUP BY 1, 2),
 s AS (SELECT suffix, sum(n) n, sum(good) good FROM d GROUP BY 1),
 g AS (SELECT sum(n)::DOUBLE pages, (sum(good) + 1.0) / (sum(n) + 2.0) p FROM s),

@@ -5,6 +5,10 @@ to registered domain to host: the posterior mean of a level is the prior mean of
 weight that the spread between the groups of that level gives (method of moments). A page that no
 rule decides is blocked when even the upper bound of its host's posterior lies below ``cut``.
 
+The suffix of a host is its last label, or its last two where ``SUFFIXES`` has them; the registered domain has
+one label more. User info and port belong to neither. Addresses share a level of their own, ``address``, in
+which each is its own domain.
+
 All of it is DataFrame expressions. Pages are never grouped raw: outcomes are counted per host
 before anything is joined, so a host with a third of all pages is one row.
 
@@ -20,8 +24,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
+
 #: (verdict, host, path prefix)
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+# Fixed: suffixes of two labels below which sites are registered. A parameter: projects bring longer lists.
+SUFFIXES = """
+ac.jp ac.uk blogspot.com co.id co.il co.in co.jp co.ke co.kr co.nz co.th co.uk co.za com.ar com.au com.br com.cn
+com.co com.hk com.mx com.my com.ng com.pl com.sg com.tr com.tw com.ua com.vn edu.au edu.cn github.io gitlab.io
+go.jp gov.au gov.br gov.cn gov.in gov.uk ne.jp net.au net.br net.cn or.jp org.au org.br org.cn org.uk
+""".split()
 CUT = 0.5
 BOUND = 1.645
 #: Weights of a prior, in pages.
@@ -48,6 +60,20 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -
     return (rule, verdict) if rule is not None else (none, none)
 
 
+def site(host: Column, suffixes: Sequence[str] = SUFFIXES) -> tuple[Column, Column]:
+    """(suffix, registered domain) of a host."""
+    bare = F.regexp_replace(F.regexp_extract(host, "[^@]*$", 0), ":[0-9]*$", "")
+    address = bare.rlike(r"^[0-9]+(\.[0-9]+){3}$")
+    parts = F.split(bare, r"\.")
+
+    def last(n: int) -> Column:
+        return F.when(F.size(parts) > n, F.concat_ws(".", F.slice(parts, -n, n))).otherwise(bare)
+
+    long = last(2).isin(list(suffixes)) & (F.size(parts) >= 2)
+    suffix = F.when(address, "address").when(long, last(2)).otherwise(last(1))
+    return suffix, F.when(address, bare).when(long, last(3)).otherwise(last(2))
+
+
 def _weight(mean: Column, groups: Column, pages: Column, spread: Column) -> Column:
     """Pages that a prior counts for: p(1-p) over the variance between groups, less 1."""
     noise = mean * (1 - mean)
@@ -61,8 +87,8 @@ def reputations(outcomes: DataFrame) -> DataFrame:
 
     ``n`` labelled pages of a host, ``good`` of them fine. Hosts without labelled pages have n = 0.
     """
-    parts = F.split("host", r"\.")
-    hosts = outcomes.withColumn("suffix", F.element_at(parts, -1)).withColumn("domain", F.when(F.size(parts) > 1, F.concat_ws(".", F.slice(parts, -2, 2))).otherwise(F.col("host")))
+    suffix, domain = site(F.col("host"))
+    hosts = outcomes.withColumns({"suffix": suffix, "domain": domain})
 
     def level(rows: DataFrame, keys: list[str]) -> DataFrame:
         return rows.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
@@ -103,6 +129,7 @@ def judged_pages(pages: DataFrame, labels: DataFrame, rules: Sequence[tuple[str,
     marked = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("page_id")).agg((F.avg(good) >= 0.5).cast("long").alias("good"))
     seen = told.select("page_id", "host").join(marked, "page_id", "left")
     outcomes = seen.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
+    outcomes = stored(outcomes, "url-hosts")  # every level reads it
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("upper") < cut, "block").otherwise("allow")
     out = told.join(reputations(outcomes), "host")

@@ -270,6 +270,20 @@ def test_urls(spark):
     assert urls.judged_pages(df, spark.createDataFrame([], "doc_id long, quality int, toxic int")).count() == 110
 
 
+def test_sites(spark):
+    """Suffix and registered domain: two-label suffixes, user info, ports, addresses, single labels."""
+    want = {
+        "a.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "x.github.io": ("github.io", "x.github.io"), "u:p@www.site.com:8080": ("com", "site.com"),
+        "10.0.0.1:80": ("address", "10.0.0.1"), "10.0.0": ("0", "0.0"), "localhost": ("localhost", "localhost"), "": ("", ""), "x.": ("", "x."),
+    }
+    rows = spark.createDataFrame([(h,) for h in want], "host string").select("host", *urls.site(F.col("host"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in rows} == want
+    bad = [(i, f"http://s{i % 5}.spam.co.uk/{i}") for i in range(40)] + [(100 + i, f"http://fine{i % 3}.co.uk/") for i in range(60)] + [(200, "http://new.co.uk/"), (201, "http://new.spam.co.uk:81/")]
+    labels = [(i, 0, None) for i in range(40)] + [(100 + i, 1, 0) for i in range(60)]
+    got = {r.page_id: r.verdict for r in urls.judged_pages(spark.createDataFrame(bad, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    assert got[200] == "allow" and got[201] == "block" and all(got[i] == "block" for i in range(40))
+
+
 def test_quality(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = quality.quality_scores(docs, labels).join(labels, "doc_id").toPandas()
