@@ -8,7 +8,10 @@ reads a run once, so the time is linear in the text.
 
 Kinds, in the order that settles equal starts: ``email``, ``ip``, ``card``, ``phone`` (the base),
 then ``login`` (name and password before the host of a URL), ``iban`` (announced, checked
-modulo 97), ``ssn`` and ``account`` (announced numbers). Positions are code points, ends exclusive.
+modulo 97), ``ssn``, ``account``, ``passport`` and ``birth`` (announced numbers and dates), ``secret`` (an
+announced password, key or token: eight characters or more without space, letters and digits among
+them) and ``key`` (access keys that their first letters give away). Cues count in any case
+and as whole words. Positions are code points, ends exclusive.
 
 Defined results: a null or empty text has no spans; one row per input row; an id may be null or
 repeated; extra columns are ignored by ``find_personal_data`` and kept by ``redacted``.
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import on_batches
 
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "login", "iban", "ssn", "account")
+KINDS = (*BASE, "login", "iban", "ssn", "account", "passport", "birth", "secret", "key")
 
 # Fixed: the shapes of the base kinds.
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -37,10 +40,32 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _NUMBER_RUN = re.compile(r"[0-9+\x20().-]*")
 _LOGIN = re.compile(r"[^\s/?#@:]+:[^\s/?#@]+@[A-Za-z0-9.-]+")
 _SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*\Z")
-_IBAN = re.compile(r"[\s:#-]{0,3}([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
-_SSN = re.compile(r"[\s:#a-z]{0,12}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])")
-_ACCOUNT = re.compile(r"(?: (?:no|nr|number|num)\.?)?[\s:#]{1,3}([0-9]{6,17})(?![0-9])", re.I)
-_CUES = {"iban": ("iban", "IBAN", "Iban"), "ssn": ("ssn", "SSN", "social security", "Social Security"), "account": ("account", "Account", "ACCOUNT", "acct", "Acct")}
+_GAP = r"(?:[\s_-]{0,2}(?:no|nr|num|number|id|code)\b\.?)?(?:\s{0,2}(?:is|was|[:=#-]))?[\s\"']{0,3}"
+_AFTER = {
+    "iban": re.compile(_GAP + r"([A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]){11,30})(?![A-Za-z0-9])", re.A | re.I),
+    "ssn": re.compile(r"[\s:#a-z]{0,12}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9])", re.A | re.I),
+    "account": re.compile(_GAP + r"([0-9]{6,17})(?![0-9])", re.A | re.I),
+    "passport": re.compile(_GAP + r"([A-Z]{0,2}[0-9]{6,9})(?![A-Za-z0-9])", re.A | re.I),
+    "birth": re.compile(_GAP + r"([0-9]{1,2}[./-][0-9]{1,2}[./-](?:19|20)[0-9]{2}|(?:19|20)[0-9]{2}[./-][0-9]{1,2}[./-][0-9]{1,2})(?![0-9])", re.A | re.I),
+    "secret": re.compile(r"[\"']?\s{0,2}(?:[:=]|\bis\b)\s{0,2}[\"']?([^\s\"'<>,;]{8,4096})", re.A),
+}
+# Fixed: words that announce an identifier, in small letters.
+_CUES = {
+    "iban": ("iban", "bank account"),
+    "ssn": ("ssn", "social security"),
+    "account": ("account", "acct", "kontonummer", "cuenta", "compte"),
+    "passport": ("passport", "reisepass", "pasaporte", "passeport"),
+    "birth": ("date of birth", "birth date", "birthdate", "birthday", "dob", "born on", "geburtsdatum"),
+    "secret": ("password", "passwd", "passphrase", "secret", "api key", "api_key", "apikey", "access key", "access_key", "token", "bearer", "kennwort", "passwort"),
+}
+# Fixed: how access keys of well-known services begin, and what follows.
+_KEYS = {
+    "akia": re.compile(r"AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"),
+    "ghp_": re.compile(r"ghp_[0-9A-Za-z]{36}(?![0-9A-Za-z])"),
+    "xoxb-": re.compile(r"xoxb-[0-9A-Za-z-]{20,80}(?![0-9A-Za-z-])"),
+    "-----begin ": re.compile(r"-----BEGIN (?:[A-Z]+ ){0,3}PRIVATE KEY-----"),
+}
+_SMALL = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _automaton = None
 
@@ -58,6 +83,8 @@ def _anchors():
         for kind, words in _CUES.items():
             for word in words:
                 automaton.add_word(word, (kind, len(word)))
+        for start in _KEYS:
+            automaton.add_word(start, ("key", len(start)))
         automaton.make_automaton()
         _automaton = automaton
     return _automaton
@@ -101,11 +128,25 @@ def _iban(text: str) -> bool:
     return 15 <= len(text) <= 34 and int("".join(str(int(c, 36)) for c in moved)) % 97 == 1
 
 
+def _holds(kind: str, value: str) -> bool:
+    """Whether what follows a cue is an identifier of its kind."""
+    if kind == "iban":
+        return _iban(value.upper())
+    if kind == "ssn":
+        return value[:3] not in ("000", "666") and value < "9" and value[4:6] != "00" and value[7:] != "0000"
+    if kind == "secret":
+        return any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+    return True
+
+
 def spans_of(text: str) -> list[tuple[int, int, int]]:
     """(start, index in KINDS, end) of all personal data, in order."""
     found: set[tuple[int, int, int]] = set()
     mail_end = number_end = 0
-    for at, (kind, size) in _anchors().iter(text):
+    small = text.lower()
+    if len(small) != len(text):  # some capitals have two small letters, which would move what follows
+        small = text.translate(_SMALL)
+    for at, (kind, size) in _anchors().iter(small):
         if kind == "number":
             if at < number_end:
                 continue
@@ -123,18 +164,15 @@ def spans_of(text: str) -> list[tuple[int, int, int]]:
             m = _LOGIN.match(text, at + 1)
             if m and _SCHEME.search(text[max(0, at - 42) : at - 2]):
                 found.add((m.start(), 4, m.end()))
-        elif kind == "iban":
-            m = _IBAN.match(text, at + 1)
-            if m and _iban(m.group(1)):
-                found.add((m.start(1), 5, m.end(1)))
-        elif kind == "ssn":
-            m = _SSN.match(text, at + 1)
-            if m and m.group(1)[:3] not in ("000", "666") and m.group(1) < "9" and m.group(1)[4:6] != "00" and m.group(1)[7:] != "0000":
-                found.add((m.start(1), 6, m.end(1)))
+        elif kind == "key":
+            start = at + 1 - size
+            m = _KEYS[small[start : at + 1]].match(text, start)
+            if m and (start == 0 or not text[start - 1].isalnum()):
+                found.add((start, KINDS.index("key"), m.end()))
         else:
-            m = _ACCOUNT.match(text, at + 1)
-            if m:
-                found.add((m.start(1), 7, m.end(1)))
+            m = _AFTER[kind].match(text, at + 1)
+            if m and not text[at - size : at + 1 - size].isalnum() and _holds(kind, m.group(1)):
+                found.add((m.start(1), KINDS.index(kind), m.end(1)))
     return sorted(found)
 
 
