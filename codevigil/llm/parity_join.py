@@ -14,8 +14,9 @@ Nothing is lost: within a block's group every member is compared with the group'
 member, and later with every member that is not yet known to be in its component.
 
 Defined results: a null or word-free text has the empty set and links with nothing; equal
-sets are one node; rows that share an id are one node; a row without id keeps its row but has
-no component; extra columns are ignored.
+sets are one node, named by the smallest id that has the set; rows that share an id are one document,
+so what links with either is linked; a row without id keeps its row but has no component; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -83,7 +84,7 @@ def short_sketch(wide: np.ndarray) -> np.ndarray:
 
 
 def _signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    schema = "doc_id long, n_shingles long, d1 long, d2 long, sketch array<long>, wide array<long>, keys array<long>"
+    schema = "doc_id long, text_hash long, n_shingles long, d1 long, d2 long, sketch array<long>, wide array<long>, keys array<long>"
 
     def step(batch: pa.RecordBatch):
         ids = batch.column(0)
@@ -110,10 +111,10 @@ def _signatures(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         offsets = np.cumsum([0, *[0 if x is None else len(x) for x in keys]])
         flat = [x for x in keys if x is not None and len(x)]
         lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(flat) if flat else [], pa.int64()))
-        columns = [ids.cast(pa.int64()), *[pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3)], pa.array([None if r[4] is None else short_sketch(r[4]) for r in rows], pa.list_(pa.int64())), pa.array([r[4] for r in rows], pa.list_(pa.int64())), lists]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "d1", "d2", "sketch", "wide", "keys"])
+        columns = [ids.cast(pa.int64()), batch.column(2), *[pa.array([r[i] for r in rows], pa.int64()) for i in (1, 2, 3)], pa.array([None if r[4] is None else short_sketch(r[4]) for r in rows], pa.list_(pa.int64())), pa.array([r[4] for r in rows], pa.list_(pa.int64())), lists]
+        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text_hash", "n_shingles", "d1", "d2", "sketch", "wide", "keys"])
 
-    return on_batches(docs, step, schema)
+    return on_batches(docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash")), step, schema)
 
 
 def _shared_keys(keys: DataFrame) -> DataFrame:
@@ -208,7 +209,8 @@ def _possible(pairs: DataFrame, about: DataFrame, num: int, den: int) -> DataFra
 
     gap = F.aggregate(F.zip_with(folded("s_a", "s_b"), folded("s_b", "s_a"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, x: total + F.coalesce(x, F.lit(0)))
     both = pairs.join(left, "a").join(right, "b").where(near)
-    return both.where(gap * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b")
+    # A node holds several sets where an id is repeated.
+    return both.where(gap * (den + num) <= (F.col("n_a") + F.col("n_b")) * (den - num)).select("a", "b").distinct()
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -230,19 +232,32 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
     component_id is the smallest id reachable over links, the document itself included.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    labelled = _labelled(texts, k, num, den, True)
+    alone = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return labelled.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"))
+
+
+def _labelled(texts: DataFrame, k: int, num: int, den: int, join_ids: bool) -> DataFrame:
+    """Rows (doc_id, text_hash, n_shingles, node, component_id); ``join_ids`` links the sets of one id."""
     signatures = stored(_signatures(texts, k, num, den), "parity")
     named = signatures.where("n_shingles > 0")
     node = named.groupBy("n_shingles", "d1", "d2").agg(F.min("doc_id").alias("node"))
     node = stored(node, "parity-nodes")
-    held = named.where("size(keys) > 0").join(node.select("node").distinct(), F.col("doc_id") == F.col("node"), "left_semi")
-    keys = held.select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
+    same = [F.col(f"{c}") == F.col(f"own_{c}") for c in ("n_shingles", "d1", "d2")]
+    owners = node.select(*[F.col(c).alias(f"own_{c}") for c in ("n_shingles", "d1", "d2")], F.col("node").alias("own"))
+    held = named.where("sketch is not null").join(owners, [F.col("doc_id") == F.col("own"), *same], "left_semi")
+    keys = held.where("size(keys) > 0").select(F.explode("keys").alias("key"), F.col("doc_id").alias("node"))
     shared = stored(_shared_keys(keys), "parity-shared")
 
-    about = named.where("sketch is not null").select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch", "wide").dropDuplicates(["node"])
+    about = held.dropDuplicates(["doc_id", "n_shingles", "d1", "d2"]).select(F.col("doc_id").alias("node"), F.col("n_shingles").alias("n"), "sketch", "wide")
     hubs = shared.groupBy("key").agg(F.min("node").alias("a"))
     star = shared.join(hubs, "key").where("a <> node").select("a", F.col("node").alias("b")).distinct()
     star = stored(_possible(star, about, num, den), "parity-star")
     links = _verified(star, texts, k, num, den)
+    if join_ids:
+        digest = F.struct("n_shingles", "d1", "d2")
+        several = named.groupBy("doc_id").agg(F.min(digest).alias("lo"), F.max(digest).alias("hi")).where("lo <> hi").select("doc_id")
+        links = links.unionByName(named.join(several, "doc_id", "left_semi").join(node, ["n_shingles", "d1", "d2"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b")).distinct())
     found = stored(components(links, "parity"), "parity-components")
 
     placed = shared.join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
@@ -266,10 +281,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 80, den: int = 10
         more = _verified(rest, texts, k, num, den)
         found = stored(components(links.unionByName(more), "parity"), "parity-components")
 
-    label = node.join(found, "node", "left").select("n_shingles", "d1", "d2", F.coalesce("component", "node").alias("component_id"))
-    out = signatures.select("doc_id", "n_shingles", "d1", "d2").join(label, ["n_shingles", "d1", "d2"], "left")
-    alone = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), alone).alias("component_id"))
+    label = node.join(found, "node", "left").select("n_shingles", "d1", "d2", "node", F.coalesce("component", "node").alias("component_id"))
+    out = signatures.select("doc_id", "text_hash", "n_shingles", "d1", "d2").join(label, ["n_shingles", "d1", "d2"], "left")
+    return out.select("doc_id", "text_hash", "n_shingles", "node", "component_id")
 
 
 def _sets(texts: DataFrame, k: int) -> DataFrame:
@@ -286,8 +300,10 @@ def _sets(texts: DataFrame, k: int) -> DataFrame:
 def one_per_component(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Documents without those that another document of their component stands for; the smallest id stays.
 
-    Columns stay as they are. Documents without words stay; so do rows without id.
+    Columns stay as they are. Documents without words stay; so do rows without id. Of rows that share an id
+    a copy of a text that a smaller id has goes by itself; those whose texts no smaller id has stay or go together.
     """
-    marked = jaccard_components(docs, k, num, den)
-    gone = marked.where("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    marked = _labelled(texts, k, num, den, False).where("n_shingles > 0 and (node <> doc_id or component_id <> node)")
+    gone = marked.select(F.col("doc_id").alias("_gone"), F.col("text_hash").alias("_hash")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("_gone")) & (F.xxhash64("text") == F.col("_hash")), "left_anti")

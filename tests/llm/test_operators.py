@@ -192,6 +192,25 @@ def test_jaccard(spark, monkeypatch, seed, k, num):
     assert parity_join.jaccard_components(spark.createDataFrame([], DOC)).count() == 0
 
 
+def test_jaccard_repeated_ids(spark):
+    """Ids with two texts, one a near copy of another document: no link is lost. Of ids with two texts, one a copy, the other stays."""
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(4000)]
+    first = [rng.choices(words, k=60) for _ in range(60)]
+    near = [[*t[:30], "changed", *t[31:]] for t in first]
+    rows = [(i, " ".join(t)) for i, t in enumerate(first)] + [(100 + i, " ".join(t)) for i, t in enumerate(near)]
+    rows += [(100 + i, " ".join(rng.choices(words, k=60))) for i in range(60)] + [(7, rows[7][1])]
+    df = spark.createDataFrame(rows, DOC + "").repartition(6)
+    for _ in range(2):
+        got = {(r.doc_id, r.component_id) for r in parity_join.jaccard_components(df, 5, 80, 100).collect()}
+        assert got == {(i, i) for i in range(60)} | {(100 + i, i) for i in range(60)}
+    copies = [(200 + i, " ".join(t)) for i, t in enumerate(first)]
+    fresh = [(200 + i, " ".join(rng.choices(words, k=60))) for i in range(60)]
+    more = spark.createDataFrame(rows[:60] + copies + fresh + [rows[7], (None, rows[7][1]), (300, ""), (300, None)], DOC)
+    kept = collections.Counter(tuple(r) for r in parity_join.one_per_component(more, 5, 80, 100).collect())
+    assert kept == collections.Counter(rows[:60] + fresh + [rows[7], (None, rows[7][1]), (300, ""), (300, None)])
+
+
 def test_contained(spark, monkeypatch):
     monkeypatch.setattr(contain, "BLOCK_BYTES", 300)
     said = texts(4)
