@@ -164,12 +164,12 @@ def event_ledger(t):
 
 
 def _event_lines(t):
-    """Events as JSON lines, some of them blank or broken; one file per month written with its month."""
+    """Events as JSON lines in month folders, some of them blank or broken."""
     folder = _workspace(t, "lines")
-    rows = V.build_events(event_rows(t), F.col("generated_at")).withColumn("ord", F.unix_micros("generated_at"))
-    line = F.to_json(F.struct(*[c for c in rows.columns if c != "ord"]), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
-    broken = F.when(F.col("ord") % 97 == 0, "{broken").when(F.col("ord") % 89 == 0, "").otherwise(line)
-    rows.select("ord", broken.alias("value")).orderBy("ord").select("value").coalesce(1).write.text(folder)
+    rows = V.build_events(event_rows(t), F.col("generated_at"))
+    at = F.unix_micros("generated_at")
+    line = F.to_json(F.struct(*rows.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    V.append_event_lines(rows, F.when(at % 97 == 0, "{broken").when(at % 89 == 0, "").otherwise(line), folder)
     return folder
 
 
@@ -183,6 +183,17 @@ def event_reader(t):
     return rows.groupBy("mode", "review_type").agg(F.count(F.lit(1)).alias("n"), F.max("generated_at").alias("last"))
 
 
+@register(
+    "event_reader_recent",
+    """WITH e AS (SELECT *, epoch_us(generated_at) AS u FROM v_events), k AS (SELECT generated_at FROM e WHERE u % 97 <> 0 AND u % 89 <> 0 ORDER BY u DESC LIMIT 300)
+    SELECT strftime(generated_at, '%Y%m') AS yyyymm, count(*) AS n, min(generated_at) AS first, max(generated_at) AS last FROM k GROUP BY ALL""",
+)
+def event_reader_recent(t):
+    """The last 300 events: the newest month folders only, as many as hold so many."""
+    rows = V.read_review_events(t.spark, _event_lines(t), limit=300)
+    return rows.groupBy(V.month_key(F.col("generated_at")).alias("yyyymm")).agg(F.count(F.lit(1)).alias("n"), F.min("generated_at").alias("first"), F.max("generated_at").alias("last"))
+
+
 @register(
     "rule_layers",
     """WITH r AS (SELECT c_custkey % 50 AS repo, concat('rule', c_nationkey) AS value, c_custkey % 2 AS layer, c_custkey AS ord FROM customer)

@@ -53,30 +53,66 @@ def append_events(events: DataFrame, directory: str) -> None:
 
 
 def read_ledger(spark: SparkSession, directory: str) -> DataFrame:
-    """The ledger with an ordinal from time (and mode, type for equal times)."""
+    """The ledger with an ordinal: time, then mode and type, then a hash of what happened, so that no two differ in nothing but it."""
     rows = spark.read.parquet(directory)
-    return rows.withColumn("ord", F.unix_micros("generated_at"))
+    rest = F.xxhash64(F.to_json(F.struct("scores", "concern_counts", "top_concerns", "artifacts")))
+    return rows.withColumn("ord", F.struct(F.unix_micros("generated_at").alias("at"), "mode", "review_type", rest.alias("rest")))
 
 
-def read_review_events(spark: SparkSession, directory: str, limit: int = 100) -> DataFrame:
-    """Events of line files in a directory: month shards in name order, then the active file, last ``limit``.
+def append_event_lines(events: DataFrame, line: Column, directory: str) -> None:
+    """Append events as JSON lines (``line``) in a folder per month, in the order of their time.
 
-    Blank and malformed lines and lines that hold no object are skipped. The ordinal is (shard, byte
-    position): the line's position in its file, so order holds however the files are split.
+    Tasks take ranges of time, so a month with very many events is written by several, and the names
+    of a month's files follow its time.
     """
-    lines = spark.read.text(directory).select(
-        "value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    rows = events.select("generated_at", month_key(F.col("generated_at")).alias("yyyymm"), line.alias("value"))
+    ordered = rows.repartitionByRange(F.col("generated_at"), F.col("value")).sortWithinPartitions("yyyymm", "generated_at", "value")
+    ordered.select("yyyymm", "value").write.mode("append").partitionBy("yyyymm").text(directory)
+
+
+def _month_folders(spark: SparkSession, directory: str) -> list[str]:
+    """Month folders of a directory, the newest first; their names only, no data."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(directory)
+    status = target.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(target)
+    return sorted((f"{directory}/{s.getPath().getName()}" for s in status if s.isDirectory() and s.getPath().getName().startswith("yyyymm=")), reverse=True)
+
+
+def _event_rows(spark: SparkSession, paths: list[str]) -> DataFrame:
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("folder"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block")
     )
     # Rows of a block keep their order, so block start and row id order the lines of a file.
     lines = lines.withColumn("line", F.monotonically_increasing_id())
     text = F.trim("value")
     # A shard named with its month sorts before the active file, which has none.
-    shard = F.coalesce(F.nullif(F.regexp_extract("file", r"-(\d{6})\.", 1), F.lit("")), F.lit("999999"))
+    named = F.coalesce(F.nullif(F.regexp_extract("folder", r"/yyyymm=(\d{6})/[^/]*$", 1), F.lit("")), F.nullif(F.regexp_extract("file", r"-(\d{6})\.", 1), F.lit("")))
+    shard = F.coalesce(named, F.lit("999999"))
     parsed = F.from_json(text, schemas.EVENT, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     rows = lines.where(text.startswith("{") & text.endswith("}")).withColumn("e", parsed)
     rows = rows.where(F.col("e.mode").isNotNull() | F.col("e.generated_at").isNotNull())
-    rows = rows.select(F.struct(shard.alias("shard"), F.col("block"), F.col("line")).alias("ord"), "e.*")
-    return last_events(rows, limit)
+    in_month = F.when(F.col("folder").contains("/yyyymm="), F.col("file")).otherwise("")
+    return rows.select(F.struct(shard.alias("shard"), in_month.alias("file"), F.col("block"), F.col("line")).alias("ord"), "e.*")
+
+
+def read_review_events(spark: SparkSession, directory: str, limit: int = 100) -> DataFrame:
+    """Events of line files in a directory: month shards in order, then the active file, last ``limit``.
+
+    Shards are month folders (``append_event_lines``) or files named with their month. Of month folders
+    only the newest are read, as many as hold ``limit`` events; with 0 all are. Blank and malformed lines
+    and lines that hold no object are skipped. The ordinal is (shard, file, byte position), so order holds
+    however the files are split.
+    """
+    folders = _month_folders(spark, directory)
+    if not folders:
+        return last_events(_event_rows(spark, [directory]), limit)
+    chosen, held = folders, 0
+    if limit > 0:
+        for n, folder in enumerate(folders, 1):
+            held += _event_rows(spark, [folder]).count()
+            if held >= limit:
+                chosen = folders[:n]
+                break
+    return last_events(_event_rows(spark, chosen), limit)
 
 
 def write_tables(tables: Mapping[str, DataFrame], directory: str, fmt: str = "parquet") -> dict[str, str]:

@@ -264,3 +264,19 @@ def test_all_files_of_a_group_move(spark):
     imports = spark.createDataFrame([("src/pkg/alpha_a.py", 1)], "path string, n long")
     plan = Y.move_plan(Y.placement(direct, imports), groups)
     assert {r.action: r["count"] for r in plan.groupBy("action").count().collect()} == {"move": 15, "retain": 1}
+
+
+def test_reader_takes_newest_months(spark, tmp_path):
+    """Only the month folders that hold the wanted events are read; order holds within a month of several files."""
+    from codevigil.sources import events as V
+
+    rows = [(f"2024-{m:02}-{d:02} 10:00:00", f"m{m}-{d}") for m in range(1, 7) for d in range(1, 11)]
+    df = spark.createDataFrame(rows, "at string, mode string").select(F.to_timestamp("at").alias("generated_at"), "mode")
+    line = F.to_json(F.struct("generated_at", "mode"), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"})
+    V.append_event_lines(df.repartition(5), line, f"{tmp_path}/lines")
+    recent = V.read_review_events(spark, f"{tmp_path}/lines", 13)
+    assert sorted(r.mode for r in recent.collect()) == sorted([f"m6-{d}" for d in range(1, 11)] + ["m5-8", "m5-9", "m5-10"])
+    assert {p.split("yyyymm=")[1][:6] for p in recent.inputFiles()} == {"202405", "202406"}
+    assert V.read_review_events(spark, f"{tmp_path}/lines", 0).count() == 60 and V.read_review_events(spark, f"{tmp_path}/lines", 500).count() == 60
+    last = V.read_review_events(spark, f"{tmp_path}/lines", 1).collect()
+    assert [r.mode for r in last] == ["m6-10"]
