@@ -307,10 +307,10 @@ def component_debt(t):
 
 @register(
     "related_hotspots",
-    f"""WITH spots AS ({SPOTS} ORDER BY score DESC, critical DESC, path LIMIT 30)
+    f"""WITH spots AS ({SPOTS})
     SELECT c.path, c.ord, critical, warning, score, CAST(row_number() OVER (ORDER BY c.ord, c.path) AS INT) AS rank
     FROM (SELECT path, min(ord) AS ord FROM v_changes GROUP BY path) c JOIN spots USING (path) ORDER BY c.ord, c.path LIMIT 10""",
 )
 def related_hotspots(t):
     candidates = t.v_changes.groupBy("path").agg(F.min("ord").alias("ord"))
-    return H.related_hotspots(candidates, E.hotspots(t.v_find, 30, details=False))
+    return H.related_hotspots(candidates, E.hotspots(t.v_find, None, details=False))
