@@ -173,7 +173,9 @@ def _batches(t):
     spots = part_files(t).where("p_size > 45").orderBy(F.desc("p_size"), "path").limit(24).select("path", F.lit(1).alias("rank"))
     d = part_descriptors(t)
     scores = d.select("component", F.when(F.col("confidence") < 0.3, "block").otherwise("approve").alias("recommendation"), F.lit(0).alias("critical"), "layer_role")
-    return Q.change_batches(targets(t, cut), evidence, files, spots, scores)
+    goals, roles = part_goals(t), d.select("component", (F.col("layer_role") == "interface_adapter").alias("infra"))
+    wanted = Q.fallback_targets(targets(t, cut), goals, d.select("component", (F.col("confidence") * 100).alias("score")), roles)
+    return Q.change_batches(wanted, evidence, files, spots, scores)
 
 
 @register("change_batches")

@@ -201,6 +201,39 @@ def target_components(ranked: DataFrame, goals: DataFrame, roles: DataFrame, hot
     return chosen.unionByName(spare.select(*keys, "component", "score", "rank", F.lit(4).alias("tier")))
 
 
+#: Component of a batch for a goal that no component answers: its files are the first hotspots.
+GLOBAL = "global"
+
+
+def fallback_targets(targets: DataFrame, goals: DataFrame, scores: DataFrame, roles: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Targets (goal_id, component, rank, source) with one row for every goal that has none.
+
+    In turn: the component that was asked for (``asked``: goal_id, component), the component of the lowest
+    score (``scores``: component, score), and ``GLOBAL``. Tests and infrastructure (``roles``: component,
+    infra) count only where the goal is about them.
+    """
+    scope = scope_of(targets, goals)
+    keys = [*scope, "goal_id"]
+    bare = goals.select(*keys, wants_infra(F.col("text")).alias("infra_ok"), wants_tests(F.col("text")).alias("tests_ok"))
+    bare = bare.join(targets.select(*keys).distinct(), keys, "left_anti")
+    ok = _allowed(F.col("infra_ok"), F.col("tests_ok"), F.col("infra"), F.col("component"))
+    flags = [F.struct(F.lit(i).alias("infra_ok"), F.lit(q).alias("tests_ok")) for i in (True, False) for q in (True, False)]
+    rated = scores.where((F.coalesce("component", F.lit("")) != "") & F.col("score").isNotNull()).select(*scope, "component", "score", F.inline(F.array(*flags)))
+    rated = rated.join(roles.select(*scope, "component", "infra"), [*scope, "component"], "left").where(ok)
+    worst = top_per(rated, [*scope, "infra_ok", "tests_ok"], [F.asc("score"), F.asc("component")], 1)
+    worst = worst.select(*scope, "infra_ok", "tests_ok", F.col("component").alias("worst"))
+    out = bare.join(worst, [*scope, "infra_ok", "tests_ok"], "left")
+    if asked is None:
+        out = out.withColumn("asked", F.lit(None).cast("string"))
+    else:
+        named = asked.where(F.coalesce("component", F.lit("")) != "").groupBy(*keys).agg(F.min("component").alias("component"))
+        named = named.join(roles.select(*scope, "component", "infra"), [*scope, "component"], "left").join(bare, keys).where(ok)
+        out = out.join(named.select(*keys, F.col("component").alias("asked")), keys, "left")
+    source = F.when(F.col("asked").isNotNull(), "asked").when(F.col("worst").isNotNull(), "worst_score").otherwise(GLOBAL)
+    spare = out.select(*keys, F.coalesce("asked", "worst", F.lit(GLOBAL)).alias("component"), F.lit(1).alias("rank"), source.alias("source"))
+    return targets.select(*keys, "component", "rank", F.lit("target").alias("source")).unionByName(spare)
+
+
 def change_batches(
     targets: DataFrame,
     evidence: DataFrame,
@@ -218,7 +251,7 @@ def change_batches(
     ``files``: component, path, ord. ``hotspots``: path, rank. ``scores``: component,
     recommendation, critical, layer_role. Focus files come from four sources in turn:
     evidence that is hot, evidence, component files that are hot, component files; a batch shows the first
-    ``focus_limit``. ``evidence_limit``, ``file_limit`` and ``hot_limit`` look at the first rows of a source only.
+    ``focus_limit``. The files of ``GLOBAL`` are the hotspots. ``evidence_limit``, ``file_limit`` and ``hot_limit`` look at the first rows of a source only.
     """
     scope = scope_of(targets, files)
     keys = [*scope, "goal_id", "component"]
@@ -226,14 +259,16 @@ def change_batches(
     facts = first.join(scores.select(*scope, "component", "recommendation", "critical", "layer_role"), [*scope, "component"], "left")
     urgent = (F.col("rank") == 1) | (F.col("recommendation") == "block") | (F.coalesce("critical", F.lit(0)) > 0)
     exposed = F.coalesce("layer_role", F.lit("")).isin("orchestration", "interface_adapter")
-    priority = F.when(urgent, "high").when(exposed | (F.col("rank") <= 3), "medium").otherwise("low")
+    priority = F.when(F.col("component") == GLOBAL, "medium").when(urgent, "high").when(exposed | (F.col("rank") <= 3), "medium").otherwise("low")
     batches = facts.select(*keys, F.concat(F.lit("B"), F.col("rank")).alias("batch"), priority.alias("priority"))
-    hot = hotspots if hot_limit is None else hotspots.where(F.col("rank") <= hot_limit)
-    hot = hot.select(*scope, "path").distinct().withColumn("hot", F.lit(True))
-    own = evidence.join(first.select(*keys), keys, "left_semi").select(*keys, "path", "ord")
+    hot_files = hotspots if hot_limit is None else hotspots.where(F.col("rank") <= hot_limit)
+    hot = hot_files.select(*scope, "path").distinct().withColumn("hot", F.lit(True))
+    own = evidence.join(first.select(*keys), keys, "left_semi").select(*keys, "path", F.col("ord").cast("long").alias("ord"))
     if evidence_limit is not None:
         own = top_per(own, keys, [F.asc("ord"), F.asc("path")], evidence_limit).drop("rank")
-    listed = files.select(*scope, "component", "path", "ord").join(first.select(*scope, "component").distinct(), [*scope, "component"], "left_semi")
+    files = files.select(*scope, "component", "path", F.col("ord").cast("long").alias("ord"))
+    files = files.unionByName(hot_files.select(*scope, F.lit(GLOBAL).alias("component"), "path", F.col("rank").cast("long").alias("ord")))
+    listed = files.join(first.select(*scope, "component").distinct(), [*scope, "component"], "left_semi")
     if file_limit is not None:
         listed = top_per(listed, [*scope, "component"], [F.asc("ord"), F.asc("path")], file_limit).drop("rank")
     listed = first.select(*keys).join(listed, [*scope, "component"])

@@ -148,3 +148,23 @@ def test_contract_concerns_carry_rule(spark):
     fact = lambda k, v: f"architecture_contract.{k}={v}"
     assert got[3].evidence == [fact("rule_id", "r1"), fact("import", "app.db"), fact("restricted_import", "app.db"), fact("source_glob", "src/app/*"), fact("owner", "core"), fact("note", "use the store")]
     assert got[3].next_steps_hint == "use the store" and got[4].evidence[-1] == fact("source_glob", "src/app/*") and "may import" in got[4].next_steps_hint
+
+
+def test_batches_for_goals_without_targets(spark):
+    """The asked component, the worst score, then the first hotspots; tests and infrastructure only where asked for."""
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    goals = frame([("g1", "make it fast"), ("g2", "make it fast"), ("g3", "make it fast"), ("g4", "mend the tests")], "goal_id string, text string")
+    targets = frame([("g1", "c", 1)], "goal_id string, component string, rank int")
+    scores = frame([("a:tests", 5.0), ("bad", 20.0), ("good", 90.0), ("", 1.0)], "component string, score double")
+    roles = frame([("bad", False), ("infra", True)], "component string, infra boolean")
+    asked = frame([("g2", "good"), ("g3", "infra"), ("g1", "good"), ("g3", "")], "goal_id string, component string")
+    got = {r.goal_id: (r.component, r.source) for r in Q.fallback_targets(targets, goals, scores, roles, asked).collect()}
+    assert got == {"g1": ("c", "target"), "g2": ("good", "asked"), "g3": ("bad", "worst_score"), "g4": ("a:tests", "worst_score")}
+    none = Q.fallback_targets(targets.limit(0), goals.limit(1), scores.limit(0), roles)
+    assert [(r.component, r.source) for r in none.collect()] == [(Q.GLOBAL, Q.GLOBAL)]
+    hot = frame([(f"x{i}.py", i + 1) for i in range(9)], "path string, rank int")
+    empty = frame([], "goal_id string, component string, path string, ord int")
+    facts = frame([], "component string, recommendation string, critical int, layer_role string")
+    batches, focus = Q.change_batches(none, empty, empty.drop("goal_id"), hot, facts)
+    assert [(r.batch, r.component, r.priority) for r in batches.collect()] == [("B1", Q.GLOBAL, "medium")]
+    assert [r.path for r in focus.orderBy("rank").collect()] == [f"x{i}.py" for i in range(6)]
