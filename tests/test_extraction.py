@@ -14,6 +14,7 @@ from codevigil.operators import topology as Y
 from codevigil.sources import extract as B
 from codevigil.sources import files as Z
 from codevigil.streaming import jobs as J
+from codevigil.streaming.index import LevelIndex
 
 LOOP = "def {name}(items, limit):\n    total = {n}\n    for item in items:\n        if item > limit:\n            total = total + item * {n}\n    return total\n"
 WRAP = "def {name}(first, second, third):\n    value = first + second * third - first\n    other = value * 2 + third * 3\n    return {call}(value, other)\n"
@@ -217,7 +218,7 @@ def test_stream_extract_skips_known_files(spark, tmp_path):
         J.stream_extract(stream, B.extract_functions, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
     got = {(r.path, r.symbol) for r in J.current_rows(spark, f"{tmp_path}/out").collect()}
     assert got == {("a.py", "renamed"), ("b.py", "b")}
-    assert spark.read.parquet(f"{tmp_path}/out/manifest").count() == 3
+    assert LevelIndex.stored(spark, f"{tmp_path}/out/manifest").rows().count() == 3
 
 
 def in_turn(spark, tmp_path, schema, batches, start):
