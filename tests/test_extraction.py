@@ -1,5 +1,6 @@
 """Python sources: duplicates, families, wrappers, shadows, contracts, findings, incremental runs, streams."""
 
+import ast
 import datetime
 
 import pytest
@@ -281,3 +282,11 @@ def test_reader_takes_newest_months(spark, tmp_path):
     assert V.read_review_events(spark, f"{tmp_path}/lines", 0).count() == 60 and V.read_review_events(spark, f"{tmp_path}/lines", 500).count() == 60
     last = V.read_review_events(spark, f"{tmp_path}/lines", 1).collect()
     assert [r.mode for r in last] == ["m6-10"]
+
+
+def test_walk_and_dump_equal_the_library():
+    """The short walk and dump give what ``ast.walk`` and ``ast.dump`` give, here on the code of the library itself."""
+    text = "\n".join(open(m.__file__).read() for m in (ast, B)).replace("from __future__ import annotations", "")
+    tree = ast.parse(text + "\nmatch x:\n    case None | {**k}:\n        f = lambda a, *b, c, d=1: {**a, 1: 2, 's': b'b'}\n")
+    assert B.walk(tree) == list(ast.walk(tree))
+    assert B.dumped(tree) == ast.dump(tree)
