@@ -262,8 +262,10 @@ def write_token_file(docs: DataFrame, folder: str, path: str, end_id: int | None
         columns = [batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(np.diff(cuts), pa.int64()), payload.cast(pa.binary()), checkpoints]
         yield pa.RecordBatch.from_arrays(columns, names=["uid", "doc_id", "piece", "n", "payload", "checkpoints"])
 
-    blocks = on_batches(ids.select("uid", "doc_id", "ids"), step, "uid long, doc_id long, piece int, n long, payload binary, checkpoints array<long>")
-    blocks.repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid", "piece").write.parquet(f"{folder}/blocks")
+    # The ids are put in order, not the blocks: finding the ranges runs all steps before it once more. A document's blocks come in order.
+    placed = ids.select("uid", "doc_id", "ids").repartitionByRange("doc_id", "uid").sortWithinPartitions("doc_id", "uid")
+    blocks = on_batches(placed, step, "uid long, doc_id long, piece int, n long, payload binary, checkpoints array<long>")
+    blocks.write.parquet(f"{folder}/blocks")
 
 
 def read_blocks(spark: SparkSession, folder: str, each, schema: str) -> DataFrame:

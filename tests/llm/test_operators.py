@@ -80,6 +80,25 @@ def test_token_file_odd_rows(spark):
         assert token_file.token_digests(spark, folder).count() == size
 
 
+def test_token_file_codes_once(spark, monkeypatch):
+    """Finding the ranges of doc_id does not code the documents a first time."""
+    coded, plain = spark.sparkContext.accumulator(0), token_file.on_batches
+
+    def counted(df, step, schema):
+        def run(batch):
+            coded.add(batch.num_rows)
+            yield from step(batch)
+
+        return plain(df, run if "payload binary" in schema else step, schema)
+
+    monkeypatch.setattr(token_file, "on_batches", counted)
+    folder = token_file.new_folder(spark)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(50)], DOC).repartition(3)
+    token_file.write_token_file(docs, folder, public_tokenizer("byte_bpe_50k.json"), 2)
+    assert coded.value == 50
+    assert [r.start for r in token_file.token_digests(spark, folder).orderBy("doc_id").limit(1).collect()] == [0]
+
+
 @pytest.mark.parametrize("symbols,limit", [(1, 18), (2, 18), (5, 3), (300, 9), (40000, 18)])
 def test_code_lengths(symbols, limit):
     rng = np.random.default_rng(symbols)
