@@ -8,6 +8,7 @@ from pathlib import PurePosixPath
 import pytest
 from pyspark.sql import functions as F
 
+from codevigil.common import spread
 from codevigil.operators import matching as M
 from codevigil.operators import similarity as S
 
@@ -190,3 +191,19 @@ def test_pieces_follow_needles(spark):
     assert held.count() <= 2 * offered.select("_key").distinct().count()
     got = {(r.id, r.needle) for r in M.substring_pairs(hay, "text", need, "needle").collect()}
     assert got == {(40, "ÄÖ-n"), (40, "ÄÖ-needle"), (41, "Q")}
+
+
+def test_few_bytes_are_cut_in_many_tasks(spark, monkeypatch):
+    """Paths that come in one task are spread before their pieces are cut, and the pieces are cut once."""
+    tasks, plain = [], M.materialise
+
+    def seen(df, name):
+        tasks.append(df.rdd.getNumPartitions())
+        return plain(df, name)
+
+    monkeypatch.setattr(M, "materialise", seen)
+    hay = spark.createDataFrame([(i, f"src/part{i % 7}/report{i}.txt") for i in range(60)], "id long, text string").coalesce(1)
+    need = spark.createDataFrame([("part3",), ("t1",), ("zz",), ("report11.txt",)], "needle string")
+    got = sorted((r.id, r.needle) for r in M.substring_pairs(spread(hay), "text", need, "needle", store=True).collect())
+    assert got == sorted((r.id, r.needle) for r in M.substring_pairs(hay, "text", need, "needle").collect()) and got
+    assert tasks == [int(spark.conf.get("spark.sql.shuffle.partitions"))]
