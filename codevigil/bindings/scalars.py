@@ -306,10 +306,10 @@ def symbol_ranks(t):
     SELECT t.doc_id, coalesce({rounded('d / (n.n * bn.n)', 6)}, 0) AS cosine FROM documents t LEFT JOIN n USING (doc_id) LEFT JOIN d USING (doc_id), bn""",
 )
 def sparse_cosine(t):
-    from .similarity import length_features, tokens
+    from .similarity import tokens, with_length_features
 
     base = F.map_from_arrays(F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: i.cast("string")), F.transform(F.sequence(F.lit(1), F.lit(10)), lambda i: i.cast("double")))
-    rows = tokens(t).withColumn("f", length_features(F.col("tok")))
+    rows = with_length_features(tokens(t)).withColumnRenamed("features", "f")
     return rows.select("doc_id", F.round(F.round(similarity.cosine(F.col("f"), base), 12), 6).alias("cosine"))
 
 
