@@ -106,16 +106,16 @@ def demote(items: DataFrame, feedback: DataFrame) -> DataFrame:
 
     ``items``: advice_id, concern_id, kind, path, text. ``feedback``: output of
     ``normalise_feedback``. Exact ids and equal paths are equi-joins. Paths and patterns
-    that only need to occur in the text join on the rarest four-letter piece of the
-    needle, then are checked, so no side is paired with all of the other.
+    that only need to occur in the text join on the rarest piece of the needle, then are
+    checked, so no side is paired with all of the other. Feedback that asks the same is one row, its first.
     """
+    from ..session import materialise
     from .matching import substring_pairs
 
     scope = scope_of(items, feedback)
     active = feedback.where(F.col("status").isin(DEMOTING))
     rows = items.withColumn("item_key", F.sha2(F.concat_ws("\x01", "advice_id", "concern_id", "kind", "path", "text"), 256))
     low = rows.select(*scope, "item_key", "advice_id", "concern_id", "kind", F.lower("text").alias("text"), F.lower("path").alias("path"))
-    low = low.dropDuplicates([*scope, "item_key"])
     exact = active.where("scope = 'exact_advice'")
 
     def by_id(name: str) -> DataFrame:
@@ -130,14 +130,15 @@ def demote(items: DataFrame, feedback: DataFrame) -> DataFrame:
         F.col("scope").alias("how"),
         F.col("kind").alias("want_kind"),
     )
-    loose = loose.where("needle <> ''")
-    haystack = low.withColumn("hay", F.concat_ws("\n", "path", "text"))
-    found = substring_pairs(haystack, "hay", loose, "needle", keys=scope)
+    loose = loose.where("needle <> ''").groupBy(*scope, "needle", "how", "want_kind").agg(F.min("ord").alias("ord"))
+    haystack = low.select(*scope, "item_key", "kind", "text", F.concat_ws("\n", "path", "text").alias("hay"))
+    found = substring_pairs(haystack, "hay", loose, "needle", keys=scope, store=True, long=True)
     kind_ok = (F.col("want_kind") == "") | (F.col("kind") == F.col("want_kind")) | F.contains("text", F.col("want_kind"))
     in_text = F.when(F.col("how") == "pattern", F.contains("text", F.col("needle"))).otherwise(F.lit(True))
     by_text = found.where(kind_ok & in_text).select(*scope, "item_key", "ord")
     hits = by_id("advice_id").unionByName(by_id("concern_id")).unionByName(by_text)
-    first = hits.groupBy(*scope, "item_key").agg(F.min("ord").alias("feedback_ord"))
+    # Stored, so that the texts that were shuffled for the search go before the items meet their hits.
+    first = materialise(hits.groupBy(*scope, "item_key").agg(F.min("ord").alias("feedback_ord")), "demoted")
     return rows.join(first, [*scope, "item_key"], "left").drop("item_key")
 
 
